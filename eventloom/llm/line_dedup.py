@@ -16,6 +16,8 @@ names beginning with ``_ld_`` are reserved.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,25 +26,39 @@ from .common import table
 WINDOW = 3
 
 
+_GAP, _WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once. Named in a lambda directly it would be once for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _has_words(x: Column, n: int) -> Column:
+    """Whether x has n words or more; reads no further than these."""
+    return x.rlike(f"^{_GAP}*+(?:{_WORD}++{_GAP}++){{{n - 1}}}{_WORD}")
+
+
 def _windows(lines: Column, long_line_words: int, min_words: int) -> Column:
     """array<struct<p, n, h1, h2>> of the windows of an array of lines."""
     n = F.size(lines)
-    size = F.when(n >= WINDOW, F.lit(WINDOW)).otherwise(n)
+    size = F.least(n, F.lit(WINDOW))
 
-    def hashed(at: Column, length: Column) -> Column:
-        body = F.array_join(F.slice(lines, at + 1, length), "\n")
-        return F.struct(at.alias("p"), length.alias("n"), F.xxhash64(body, length).alias("h1"), F.xxhash64(F.lit(7), length, body).alias("h2"), body.alias("b"))
+    def hashed(at: Column, length: Column, body: Column) -> Column:
+        return F.struct(at.alias("p"), length.alias("n"), F.xxhash64(body, length).alias("h1"), F.xxhash64(F.lit(7), length, body).alias("h2"))
 
-    threes = F.transform(F.sequence(F.lit(0), n - size), lambda i: hashed(i, size))
-    threes = F.filter(threes, lambda w: w["b"].rlike(r"[\p{L}\p{N}]") & ((n >= WINDOW) | (_words(w["b"]) >= min_words)))
-    longs = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("p"), x.alias("x"))), lambda s: (F.length(s["x"]) > 2 * long_line_words) & (_words(s["x"]) > long_line_words))
-    longs = F.transform(longs, lambda s: hashed(s["p"], F.lit(1)))
-    strip = lambda w: F.struct(w["p"].alias("p"), w["n"].alias("n"), w["h1"].alias("h1"), w["h2"].alias("h2"))
-    return F.array_distinct(F.transform(F.concat(threes, longs), strip))
+    def three(i: Column) -> Column:
+        def keep(body: Column) -> Column:
+            good = body.rlike(r"[\p{L}\p{N}]") & ((n >= WINDOW) | _has_words(body, min_words))
+            return F.when(good, hashed(i, size, body))
 
+        return _let(F.array_join(F.slice(lines, i + 1, size), "\n"), keep)
 
-def _words(x: Column) -> Column:
-    return F.size(F.split(F.trim(F.regexp_replace(x, r"[\x20\x09-\x0D]+", " ")), " "))
+    threes = F.transform(F.sequence(F.lit(0), n - size), three)
+    enough = 2 * (long_line_words + 1) - 1  # characters of so many words
+    longs = F.transform(lines, lambda x, i: F.when((n > 1) & (F.length(x) >= enough) & _has_words(x, long_line_words + 1), hashed(i, F.lit(1), x)))
+    # a text of one line has that one window
+    return F.filter(F.concat(threes, longs), lambda w: w.isNotNull())
 
 
 def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", long_line_words: int = 50, min_words: int = 13) -> DataFrame:
@@ -52,7 +68,7 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", long_li
     rid = F.xxhash64(F.col(text))
     occ = (
         docs.where(F.col(text).isNotNull())
-        .select(F.col(key).alias("k"), rid.alias("r"), F.explode(_windows(lines, long_line_words, min_words)).alias("w"))
+        .select(F.col(key).alias("k"), rid.alias("r"), F.explode(_let(lines, lambda x: _windows(x, long_line_words, min_words))).alias("w"))
         .select("k", "r", F.col("w.p").alias("p"), F.col("w.n").alias("n"), F.col("w.h1").alias("h1"), F.col("w.h2").alias("h2"))
     )
     first = (
@@ -70,11 +86,13 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", long_li
     )
     out = docs.withColumn("_ld_rid", rid)
     out = out.join(covered, F.col(key).eqNullSafe(F.col("_ld_k")) & (F.col("_ld_rid") == F.col("_ld_r")), "left")
-    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_ld_removed")), lambda i: F.get(lines, i)), "\n")
+    kept = _let(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_ld_removed")), lambda i: F.get(x, i)), "\n"))
     cleaned = F.when(F.col("_ld_removed").isNull(), F.col(text)).otherwise(kept)
-    fresh = {"n_lines": None, "n_removed": None, "removed": F.coalesce(F.col("_ld_removed"), F.array().cast("array<int>"))}
-    fresh["n_lines"] = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
-    fresh["n_removed"] = F.when(F.col("_ld_removed").isNull(), F.lit(0)).otherwise(F.size("_ld_removed")).cast("long")
+    fresh = {
+        "n_lines": F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"),
+        "n_removed": F.when(F.col("_ld_removed").isNull(), F.lit(0)).otherwise(F.size("_ld_removed")).cast("long"),
+        "removed": F.coalesce(F.col("_ld_removed"), F.array().cast("array<int>")),
+    }
     rest = [F.col(c) for c in docs.columns if c not in (*fresh, text)]
     return out.select(*rest, cleaned.alias(text), *[c.alias(n) for n, c in fresh.items()])
 
