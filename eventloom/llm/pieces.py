@@ -19,6 +19,7 @@ with the model's own decoder. Rows are encoded alone, so repeated rows need noth
 
 from __future__ import annotations
 
+import gc
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -29,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE, table
+from .common import SLICE, cut, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 HEAD = 50_000
 HEAD_CHARS = 24
-CACHE = 600_000
+CACHE = 400_000
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 
 
@@ -58,6 +59,8 @@ class Model:
         self.unk = sp.unk_id()
         special = [sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) for i in range(n)]
         self.piece = {self.text[i]: (sp.get_score(i), i) for i in range(n) if not special[i]}
+        self.rank = {p: -s for p, (s, _) in self.piece.items()}
+        self.never = float("inf")
         self.longest = max(map(len, self.piece))
         self.floor = min(s for s, _ in self.piece.values()) - 10
         value = {i: b for b, i in self.byte.items()}
@@ -74,22 +77,25 @@ class Model:
 
     def merge(self, unit: str) -> list[int]:
         """The BPE fold of one unit."""
-        s, piece = list(unit), self.piece
+        s = list(unit)
         if len(s) > 256:
             return self._merge_long(s)
-        get = lambda a, b: piece.get(a + b, (None,))[0]
-        score = list(map(get, s, s[1:]))
-        while score:
-            best = max((x for x in score if x is not None), default=None)
-            if best is None:
+        get, never = self.rank.get, self.never
+        rank = [get(a + b, never) for a, b in zip(s, s[1:], strict=False)]
+        while rank:
+            best = min(rank)
+            if best == never:
                 break
-            j = score.index(best)
-            s[j : j + 2] = [s[j] + s[j + 1]]
-            del score[j]
-            if j < len(score):
-                score[j] = get(s[j], s[j + 1])
+            j = rank.index(best)
+            s[j] += s.pop(j + 1)
+            rank.pop(j)
+            if j < len(rank):
+                rank[j] = get(s[j] + s[j + 1], never)
             if j:
-                score[j - 1] = get(s[j - 1], s[j])
+                rank[j - 1] = get(s[j - 1] + s[j], never)
+        piece = self.piece
+        if all(map(piece.__contains__, s)):
+            return [piece[x][1] for x in s]
         return list(chain.from_iterable(map(self.spell, s)))
 
     def _merge_long(self, s: list[str]) -> list[int]:
@@ -142,6 +148,10 @@ class Model:
         return text.removeprefix(" ")
 
 
+#: What a worker has folded, by model file; each at most CACHE units.
+_MEMORY: dict[str, dict[str, tuple[int, ...]]] = {}
+
+
 @lru_cache(maxsize=4)
 def model_at(path: str) -> Model:
     return Model(path)
@@ -245,8 +255,18 @@ def count_units(docs: DataFrame, flush: int = 300_000) -> DataFrame:
 
 
 def head_units(docs: DataFrame, head: int) -> DataFrame:
-    short = count_units(docs).where(F.char_length("unit") <= HEAD_CHARS)
-    return short.orderBy(F.desc("n"), "unit").limit(head).select("unit")
+    """At most ``head`` units: those above a count, which is read off a histogram of counts (eight steps an octave).
+
+    No task or driver sees more than the histogram and the units themselves.
+    """
+    short = cut(count_units(docs).where((F.char_length("unit") <= HEAD_CHARS) & (F.col("n") > 1)), "units")
+    step = F.floor(F.log2("n") * 8).cast("int")
+    least, total = None, 0
+    for at, n in short.groupBy(step.alias("at")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("at")).collect():
+        if total + n > head:
+            break
+        least, total = at, total + n
+    return short.where(F.lit(False) if least is None else step >= least).select("unit")
 
 
 def encode_documents(docs: DataFrame, path: str = MODEL, head: int = HEAD) -> DataFrame:
@@ -257,7 +277,8 @@ def encode_documents(docs: DataFrame, path: str = MODEL, head: int = HEAD) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = shared.value
-        rest: dict[str, list[int]] = {}
+        rest = _MEMORY.setdefault(path, {})  # later tasks of this worker go on with it
+        gc.disable()  # millions of small lists, none in a cycle
         types = (pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.bool_())
         for batch in batches:
             for lo in range(0, batch.num_rows, SLICE):
@@ -271,7 +292,7 @@ def encode_documents(docs: DataFrame, path: str = MODEL, head: int = HEAD) -> Da
                     for u in units(t):
                         x = known.get(u) or rest.get(u)
                         if x is None:
-                            x = model.fold(u)
+                            x = tuple(model.fold(u))
                             if len(u) <= 64:
                                 rest[u] = x
                         own.append(x)
