@@ -4,7 +4,7 @@ ARC record heads are one line of space-separated fields, five in version 1 (URL
 (URL IP date type result-code checksum location offset filename length); the last field is the declared length of the
 body that follows. Each becomes a WARC record with a name-based UUID, an ISO timestamp, a type and a SHA-1 digest.
 
-Archives are text files written by Spark's own writer, each row one record and CRLF CRLF between records, so they go to
+Archives are gzipped text files written by Spark's own writer, each row one record and CRLF CRLF between records, so they go to
 any store that Spark writes; they are read back by declared lengths, never by searching for separators.
 
 Defined cases: a null html has an empty payload; a null page_id is written as an empty field and read back as null, and is
@@ -13,6 +13,7 @@ never the page that others revisit; repeated rows are records of their own. A ma
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -104,9 +105,9 @@ def convert(arcs: DataFrame) -> DataFrame:
     return map_slices(arcs.select("arc", "page_id", "refers_to"), _convert, "record binary")
 
 
-def write_warc(records: DataFrame, path: str, per_file: int = 20_000) -> None:
+def write_warc(records: DataFrame, path: str, per_file: int = 5_000) -> None:
     (records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n")
-     .option("maxRecordsPerFile", per_file).text(path))
+     .option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path))
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -117,7 +118,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for one in batch.column(0):
                 rows: list[tuple] = []
-                for head, body in parse_warc(one.as_buffer().to_pybytes()):
+                raw = one.as_buffer().to_pybytes()
+                for head, body in parse_warc(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
                     number = lambda k, h=head: int(h[k]) if h.get(k) else None
                     rows.append((number("x-page-id"), head["warc-type"], number("x-refers-to-page"), number("x-payload-length"), head["warc-payload-digest"].removeprefix("sha1:"), head["warc-record-id"], None if head["warc-type"] == "revisit" else body))
                     if len(rows) == 512:
