@@ -123,7 +123,7 @@ def learn(positives: list[str], unlabelled: list[str]) -> Network | None:
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = 6000, max_chars: int = 20_000) -> Network | None:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = 4000, max_chars: int = 20_000) -> Network | None:
     """Positives: quality 1 of rows whose crc32(doc_id) mod 5 is not 0. Unlabelled: any document, in hash order."""
     one = labels.where(F.col("quality") == 1)
     positives = [t for t, _ in labelled_sample(docs, one, "quality", fold("doc_id", 5) != 0, rows, max_chars)]

@@ -175,60 +175,47 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similar_groups(docs: DataFrame, size: int = 5, min_similarity: float = 0.8, tables: int = 8, radius: int = 2) -> DataFrame:
-    """(doc_id, leader) for rows of (doc_id, text) that have a leader other than themselves.
+def similar_groups(docs: DataFrame, size: int = 5, min_similarity: float = 0.8, tables: int = 12, radius: int = 2) -> DataFrame:
+    """(doc_id, leader) for ids of (doc_id, text) that have a leader other than themselves.
 
     Candidates come from ``tables`` SimHashes of a text's words (a changed word moves them less than it moves hashes of
-    shingles), by the pigeonring join of each table. Of each component the smallest id leads; a member stays in the group
-    only if its set of ``size``-word shingles has a Jaccard similarity of ``min_similarity`` or more with the leader's.
-    Members that miss it are grouped again among themselves, until no group is left.
+    shingles), by the pigeonring join of each table. A candidate link stays only if the sets of ``size``-word shingles
+    have a Jaccard similarity of ``min_similarity`` or more; the smallest id of a component of such links leads it.
+    Copies of a text follow its first id. In hot buckets, and among texts of one fingerprint, candidates are links to the
+    smallest id of each shared variant or fingerprint, of which a text has many.
     """
-    body = F.coalesce(F.col("text"), F.lit(""))
-    content = docs.where("doc_id is not null").select("doc_id", F.unhex(F.sha2(body, 256)).alias("h"))
+    named = docs.where("doc_id is not null").select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    content = cut(named.select("doc_id", F.unhex(F.sha2("text", 256)).alias("h")), "contents")
     copies = cut(content.groupBy("h").agg(F.min("doc_id").alias("v")), "copies")
-    firsts = docs.join(copies.select(F.col("v").alias("doc_id")), "doc_id", "left_semi")
-    prints = cut(word_prints(firsts, tables, size), "prints")
-    flat = prints.select(F.posexplode("fps").alias("t", "fp"), "doc_id").groupBy("t", "fp").agg(F.min("doc_id").alias("v"))
-    flat = cut(flat, "classes")
-    # Words of one fingerprint in some table are linked through that class's representative.
-    within = prints.select(F.posexplode("fps").alias("t", "fp"), F.col("doc_id").alias("b")).join(flat, ["t", "fp"]).select(F.col("v").alias("a"), "b").where("a < b")
+    prints = cut(word_prints(named, tables, size), "prints").join(copies.select(F.col("v").alias("doc_id")), "doc_id", "left_semi")
+    each = cut(prints.select(F.posexplode("fps").alias("t", "fp"), "doc_id"), "each")
+    flat = cut(each.groupBy("t", "fp").agg(F.min("doc_id").alias("v")), "classes")
+    within = each.withColumnRenamed("doc_id", "b").join(flat.withColumnRenamed("v", "a"), ["t", "fp"]).select("a", "b").where("a < b")
     edges = cut(links(flat, radius).unionByName(within).distinct(), "candidates")
-    leaders = None
-    while True:
-        comp = components(edges)
-        vertices = cut(comp.select("v", "c"), "members")
-        checked = cut(_verified(docs, vertices, size, min_similarity), "verified")
-        good = checked.where("ok").select("v", "c")
-        leaders = good if leaders is None else leaders.unionByName(good)
-        missed = checked.where("not ok").select("v")
-        edges = edges.join(missed.withColumnRenamed("v", "a"), "a", "left_semi").join(missed.withColumnRenamed("v", "b"), "b", "left_semi")
-        edges = cut(edges, "candidates")
-        if edges.isEmpty():
-            break
-    lead = leaders.withColumnRenamed("v", "doc_id").withColumnRenamed("c", "leader")
+    lead = components(_verified(named, edges, size, min_similarity)).select(F.col("v").alias("doc_id"), F.col("c").alias("leader"))
     exact = content.join(copies, "h").where("v <> doc_id").select("doc_id", "v")
-    # A copy of a text follows that text's leader.
     exact = exact.join(lead.withColumnRenamed("doc_id", "v"), "v", "left").select("doc_id", F.coalesce("leader", "v").alias("leader"))
     return lead.unionByName(exact)
 
 
-def _verified(docs: DataFrame, members: DataFrame, size: int, least: float) -> DataFrame:
-    """(v, c, ok): whether member v is similar enough to leader c, by exact sets of shingle hashes."""
-    everyone = members.select("v").unionByName(members.select(F.col("c").alias("v"))).distinct()
-    texts = docs.select(F.col("doc_id").alias("v"), "text").join(everyone, "v", "left_semi")
+def _verified(docs: DataFrame, edges: DataFrame, size: int, least: float) -> DataFrame:
+    """The edges (a, b) whose texts are similar enough, by exact sets of shingle hashes."""
+    ends = edges.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+    texts = docs.select(F.col("doc_id").alias("v"), "text").join(ends, "v", "left_semi")
 
     def batch(cols: dict[str, list]) -> dict[str, list]:
-        return {"v": cols["v"], "hs": [np.unique(hashes(t, size)).tobytes() for t in cols["text"]]}
+        return {"v": cols["v"], "hs": [np.unique((hashes(t, size) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in cols["text"]]}
 
     sets = cut(map_slices(texts, batch, "v long, hs binary").dropDuplicates(["v"]), "shingles")
 
     def compare(cols: dict[str, list]) -> dict[str, list]:
-        ok = []
-        for x, y in zip(cols["hs"], cols["hc"], strict=True):
-            a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            ok.append(both >= least * (len(a) + len(b) - both))
-        return {"v": cols["v"], "c": cols["c"], "ok": ok}
-
-    pairs = members.join(sets, "v").join(sets.select(F.col("v").alias("c"), F.col("hs").alias("hc")), "c")
-    return map_slices(pairs.select("v", "c", "hs", "hc"), compare, "v long, c long, ok boolean")
+        rows = []
+        for v, w, x, y in zip(*(cols[k] for k in ("a", "b", "ha", "hb")), strict=True):
+            p, q = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            if both >= least * (len(p) + len(q) - both):
+                rows.append((v, w))
+        return {"a": [r[0] for r in rows], "b": [r[1] for r in rows]} if rows else {}
+
+    pairs = edges.join(sets.withColumnsRenamed({"v": "a", "hs": "ha"}), "a").join(sets.withColumnsRenamed({"v": "b", "hs": "hb"}), "b")
+    return map_slices(pairs.select("a", "b", "ha", "hb"), compare, "a long, b long")
