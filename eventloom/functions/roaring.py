@@ -20,7 +20,7 @@ def serialize(values) -> bytes:
     highs, first = np.unique(v >> 16, return_index=True)
     bodies, runs = [], []
     for low in np.split((v & 0xFFFF).astype(np.uint16), first[1:]) if len(v) else []:
-        starts = np.flatnonzero(np.diff(low.astype(np.int64), prefix=-2) != 1)
+        starts = np.flatnonzero(np.diff(low.astype(np.int64), prepend=-2) != 1)
         ends = np.append(starts[1:], len(low))
         plain = 2 * len(low) if len(low) <= _ARRAY_MAX else 8192
         runs.append(2 + 4 * len(starts) < plain)
