@@ -29,6 +29,8 @@ _WORD = re.compile(r"[^\W_]+")
 #: Words longer than this are cut into pieces of this length: their bags would only grow.
 MAX_WORD = 40
 CACHE = 400_000
+#: A small sample is gone through more often.
+MIN_STEPS = 400
 
 
 def words(text: str | None) -> set[str]:
@@ -56,7 +58,8 @@ class Model:
         self.out = (rng.normal(size=(DIM, 2)) * 0.3).astype(np.float32)
         self.bias = np.array([2.5, -2.5], dtype=np.float32)
 
-    def train(self, sample: list[tuple[str, int]], epochs: int = 10, batch: int = 48, rate: float = 0.15) -> Model:
+    def train(self, sample: list[tuple[str, int]], epochs: int = 8, batch: int = 48, rate: float = 0.15) -> Model:
+        epochs = max(epochs, -(-MIN_STEPS // max(1, len(sample) // batch)))
         rng = np.random.default_rng(11)
         index: dict[str, int] = {}
         texts = [np.array([index.setdefault(w, len(index)) for w in sorted(words(t))], dtype=np.int64) for t, _ in sample]
