@@ -31,7 +31,7 @@ def read_offsets(index_path: str) -> np.ndarray:
 
 def write_chunk(index_path: str, data_path: str, payloads: Sequence[bytes], width: int = 8) -> None:
     """A chunk of a few ledgers, for fixtures."""
-    c, frames = zstandard.ZstdCompressor(level=3), []
+    c = zstandard.ZstdCompressor(level=3)
     frames = [c.compress(p) for p in payloads]
     at = np.concatenate([[0], np.cumsum([len(f) for f in frames])]).astype(f"<u{width}")
     with open(index_path, "wb") as f:
@@ -63,7 +63,7 @@ class ChunkReader(DataSourceReader):
     def __init__(self, options):
         self.index, self.data = options["index"], options["data"]
         self.drop = options.get("mode", "FAILFAST").upper() == "DROPMALFORMED"
-        self.per = int(options.get("ledgerspartition", options.get("ledgersPerPartition", 1000)))
+        self.per = int(options.get("ledgersPerPartition", 1000))
 
     def partitions(self) -> list[Ledgers]:
         at = read_offsets(self.index).tolist()
