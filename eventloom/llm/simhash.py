@@ -107,11 +107,13 @@ def links(prints: DataFrame, radius: int = 2, hot_bucket: int = 64) -> DataFrame
     if not 0 <= radius <= 2:
         raise ValueError("the radius must be 0, 1 or 2")
     exact, budgets = ring(radius)
-    starts = F.array(*[F.struct(F.lit(i).alias("s"), _rotated(F.col("fp"), i).alias("x")) for i in range(SEGMENTS)])
-    keyed = prints.select("t", "v", F.explode(starts).alias("e")).select("t", "v", F.col("e.s").alias("s"), F.col("e.x").alias("x"))
-    keyed = keyed.withColumn("k", F.col("x").bitwiseAND(F.lit(_mask(exact))))
-    sizes = keyed.groupBy("t", "s", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    live = cut(keyed.join(sizes, ["t", "s", "k"]), "buckets")
+    # the narrowest rows are shuffled: table and start in one number, the key left in the rotated fingerprint
+    starts = F.array(*[F.struct((F.col("t") * SEGMENTS + i).alias("ts"), _rotated(F.col("fp"), i).alias("x")) for i in range(SEGMENTS)])
+    keyed = prints.select("v", F.explode(starts).alias("e")).select("v", F.col("e.ts").alias("ts"), F.col("e.x").alias("x"))
+    key = F.col("x").bitwiseAND(F.lit(_mask(exact)))
+    sizes = keyed.groupBy(F.col("ts").alias("own"), key.alias("k")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    live = keyed.join(sizes, (F.col("ts") == F.col("own")) & (key == F.col("k")))
+    live = cut(live.select((F.col("ts") / SEGMENTS).cast("int").alias("t"), (F.col("ts") % SEGMENTS).alias("s"), "k", "v", "x", "n"), "buckets")
     mild = live.where(F.col("n") <= hot_bucket).drop("n")
     a = mild.select("t", "s", "k", F.col("v").alias("a"), F.col("x").alias("xa"))
     b = mild.select("t", "s", "k", F.col("v").alias("b"), F.col("x").alias("xb"))
