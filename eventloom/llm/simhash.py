@@ -177,7 +177,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similar_groups(docs: DataFrame, size: int = 5, min_similarity: float = 0.8, tables: int = 12, radius: int = 2) -> DataFrame:
+def similar_groups(docs: DataFrame, size: int = 5, min_similarity: float = 0.8, tables: int = 24, radius: int = 2) -> DataFrame:
     """(doc_id, leader) for ids of (doc_id, text) that have a leader other than themselves.
 
     Candidates come from ``tables`` SimHashes of a text's words (a changed word moves them less than it moves hashes of
