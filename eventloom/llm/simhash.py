@@ -28,6 +28,8 @@ from .common import cut, lower_ascii, map_slices, mix64, table, words_of
 
 SEGMENTS = 8
 BITS = 64
+#: Longs of the sketch of a set of shingles; a power of two.
+SKETCH = 8
 _SPREAD = np.array([[(b >> i) & 1 for i in range(8)] for b in range(256)], dtype=np.uint8)
 
 
@@ -68,18 +70,33 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     return map_slices(docs.select("doc_id", "text"), batch, "doc_id long, fp long")
 
 
+def sketch(text: str | None, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(u, bits): the set of 32-bit hashes of a text's shingles, and SKETCH longs in which bit x mod 64 * SKETCH is
+    toggled for every x of u. Two sets differ in at least as many elements as their longs differ in bits."""
+    u = np.unique((hashes(text, size) >> np.uint64(32)).astype(np.uint32))
+    odd = np.bincount(u & np.uint32(BITS * SKETCH - 1), minlength=BITS * SKETCH) & 1
+    return u, np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def word_prints(docs: DataFrame, tables: int, size: int) -> DataFrame:
-    """(doc_id, fps array<long>): ``tables`` SimHashes of a text's set of words and, under ``size`` words, of its sequence."""
+    """(doc_id, fps array<long>, n long, s0 .. long) of whole texts.
+
+    fps: ``tables`` SimHashes of a text's set of words. n, s0 ..: elements and sketch of its set of ``size``-word shingles.
+    """
 
     def batch(cols: dict[str, list]) -> dict[str, list]:
-        out = []
+        fps, n, bits = [], [], []
         for t in cols["text"]:
             words = {lower_ascii(w) for w in words_of(t)}
             h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), dtype=np.uint64, count=len(words))
-            out.append([signed(majority(mix64(h + np.uint64((i * 0x9E3779B97F4A7C15) % (1 << 64))))) if len(h) else 0 for i in range(tables)])
-        return {"doc_id": cols["doc_id"], "fps": out}
+            fps.append([signed(majority(mix64(h + np.uint64((i * 0x9E3779B97F4A7C15) % (1 << 64))))) if len(h) else 0 for i in range(tables)])
+            u, b = sketch(t, size)
+            n.append(len(u))
+            bits.append(b)
+        return {"doc_id": cols["doc_id"], "fps": fps, "n": n} | {f"s{i}": [int(b[i]) for b in bits] for i in range(SKETCH)}
 
-    return map_slices(docs.select("doc_id", "text"), batch, "doc_id long, fps array<long>")
+    longs = ", ".join(f"s{i} long" for i in range(SKETCH))
+    return map_slices(docs.select("doc_id", "text"), batch, f"doc_id long, fps array<long>, n long, {longs}")
 
 
 def ring(radius: int) -> tuple[int, list[int]]:
@@ -183,30 +200,46 @@ def similar_groups(docs: DataFrame, size: int = 5, min_similarity: float = 0.8,
     Candidates come from ``tables`` SimHashes of a text's words (a changed word moves them less than it moves hashes of
     shingles), by the pigeonring join of each table. A candidate link stays only if the sets of ``size``-word shingles
     have a Jaccard similarity of ``min_similarity`` or more; the smallest id of a component of such links leads it.
+    Ahead of that comparison, links are dropped whose sketches show that they can't reach it; no other is.
     Copies of a text follow its first id. In hot buckets, and among texts of one fingerprint, candidates are links to the
     smallest id of each shared variant or fingerprint, of which a text has many.
     """
     named = docs.where("doc_id is not null").select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     content = cut(named.select("doc_id", F.unhex(F.sha2("text", 256)).alias("h")), "contents")
     copies = cut(content.groupBy("h").agg(F.min("doc_id").alias("v")), "copies")
-    prints = cut(word_prints(named, tables, size), "prints").join(copies.select(F.col("v").alias("doc_id")), "doc_id", "left_semi")
+    written = cut(word_prints(named, tables, size), "prints")
+    prints = written.join(copies.select(F.col("v").alias("doc_id")), "doc_id", "left_semi")
     each = cut(prints.select(F.posexplode("fps").alias("t", "fp"), "doc_id"), "each")
     flat = cut(each.groupBy("t", "fp").agg(F.min("doc_id").alias("v")), "classes")
     within = each.withColumnRenamed("doc_id", "b").join(flat.withColumnRenamed("v", "a"), ["t", "fp"]).select("a", "b").where("a < b")
-    edges = cut(links(flat, radius).unionByName(within).distinct(), "candidates")
+    edges = cut(_reachable(links(flat, radius).unionByName(within).distinct(), written, min_similarity), "candidates")
     lead = components(_verified(named, edges, size, min_similarity)).select(F.col("v").alias("doc_id"), F.col("c").alias("leader"))
     exact = content.join(copies, "h").where("v <> doc_id").select("doc_id", "v")
     exact = exact.join(lead.withColumnRenamed("doc_id", "v"), "v", "left").select("doc_id", F.coalesce("leader", "v").alias("leader"))
     return lead.unionByName(exact)
 
 
+def _reachable(edges: DataFrame, prints: DataFrame, least: float) -> DataFrame:
+    """The edges (a, b) but those whose sets of shingles are too unlike for certain, by their sizes and sketches.
+
+    Sets of p and q elements whose sketches differ in d bits share (p + q - d) / 2 elements at most, and min(p, q).
+    """
+    names = ["n", *(f"s{i}" for i in range(SKETCH))]
+    one = prints.select("doc_id", *names).dropDuplicates(["doc_id"])
+    a, b = (one.select(F.col("doc_id").alias(x), *(F.col(c).alias(x + c) for c in names)) for x in "ab")
+    total = F.col("an") + F.col("bn")
+    apart = sum((F.bit_count(F.col(f"as{i}").bitwiseXOR(F.col(f"bs{i}"))) for i in range(SKETCH)), F.lit(0))
+    most = F.least((total - apart) / 2.0, F.col("an").cast("double"), F.col("bn").cast("double"))
+    return edges.join(a, "a").join(b, "b").where(most * (1 + least) + 1e-6 >= total * least).select("a", "b")
+
+
 def _verified(docs: DataFrame, edges: DataFrame, size: int, least: float) -> DataFrame:
     """The edges (a, b) whose texts are similar enough, by exact sets of shingle hashes."""
     ends = edges.select(F.explode(F.array("a", "b")).alias("v")).distinct()
     texts = docs.select(F.col("doc_id").alias("v"), "text").join(ends, "v", "left_semi")
 
     def batch(cols: dict[str, list]) -> dict[str, list]:
-        return {"v": cols["v"], "hs": [np.unique((hashes(t, size) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in cols["text"]]}
+        return {"v": cols["v"], "hs": [sketch(t, size)[0].tobytes() for t in cols["text"]]}
 
     sets = cut(map_slices(texts, batch, "v long, hs binary").dropDuplicates(["v"]), "shingles")
 

@@ -226,6 +226,25 @@ def test_near_duplicates_odd(spark, odd):
     assert len(out) == len(ODD) and {r.component_id for r in out if r.doc_id in (1, 2, 3)} == {1} and {r.component_id for r in out if r.doc_id in (5, 6)} == {5}
 
 
+def test_sketches_keep_similar_pairs(spark):
+    import random
+
+    rng, words = random.Random(3), [f"w{i}" for i in range(300)]
+    texts = ["", "one", None]
+    for n in (4, 30, 150, 900):
+        base = [rng.choice(words) for _ in range(n)]
+        texts += [" ".join(rng.choice(words) if rng.random() < rate else w for w in base) for rate in (0, 0.005, 0.01, 0.02, 0.03, 0.1, 0.5)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    every = [(a, b) for b in range(len(texts)) for a in range(b)]
+    sets = [set(simhash.shingles(t, 5)) for t in texts]
+    alike = {(a, b) for a, b in every if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    edges = spark.createDataFrame(every, "a long, b long")
+    left = simhash._reachable(edges, simhash.word_prints(df, 2, 5), 0.8)
+    kept = {tuple(r) for r in left.collect()}
+    assert alike <= kept and 0 < len(alike) < len(kept) < len(every)
+    assert {tuple(r) for r in simhash._verified(df, left, 5, 0.8).collect()} == alike
+
+
 def test_similar_groups(spark, odd):
     r = random.Random(4)
     words = [f"w{r.randint(0, 4000)}" for _ in range(300)]
