@@ -183,9 +183,10 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2, hot_bucket: int = 64) -> DataFrame:
     """(doc_id, fp, component_id) for every row of (doc_id, text)."""
     prints = cut(fingerprints(docs, size), "prints")
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("v")).where("v is not null")
+    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("v")).where("v is not null"), "classes")
     comp = components(links(classes.select(F.lit(0).alias("t"), "fp", "v"), radius, hot_bucket))
-    named = classes.join(comp, "v", "left").select("fp", F.coalesce("c", "v").alias("component_id"))
+    # written, so that nothing but the two exchanges stands below the join and AQE can split a hot fingerprint
+    named = cut(classes.join(comp, "v", "left").select("fp", F.coalesce("c", "v").alias("component_id")), "named")
     return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
