@@ -195,31 +195,86 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similar_groups(docs: DataFrame, size: int = 5, min_similarity: float = 0.8, tables: int = 24, radius: int = 2) -> DataFrame:
+def similar_groups(docs: DataFrame, size: int = 5, min_similarity: float = 0.8) -> DataFrame:
     """(doc_id, leader) for ids of (doc_id, text) that have a leader other than themselves.
 
-    Candidates come from ``tables`` SimHashes of a text's words (a changed word moves them less than it moves hashes of
-    shingles), by the pigeonring join of each table. A candidate link stays only if the sets of ``size``-word shingles
-    have a Jaccard similarity of ``min_similarity`` or more; the smallest id of a component of such links leads it.
-    Ahead of that comparison, links are dropped whose sketches show that they can't reach it; no other is.
-    Copies of a text follow its first id. In hot buckets, and among texts of one fingerprint, candidates are links to the
-    smallest id of each shared variant or fingerprint, of which a text has many.
+    Two texts are linked if the sets of their ``size``-word shingles have a Jaccard similarity of ``min_similarity`` or
+    more; the smallest id of a component of such links leads it. Copies of a text follow its first id.
+
+    The links are found exactly, by a prefix filter: with the shingles of all sets in one order, two sets so similar share
+    one of the first n - ceil(min_similarity * n) + 1 of each. The order puts shingles common in a sample last; it decides
+    how many candidates there are, never which links are found. First each prefix shingle links its texts to the smallest
+    id. Then all pairs are compared that share one and are still in two components: pairs within one can't change it.
     """
     named = docs.where("doc_id is not null").select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     content = cut(named.select("doc_id", F.unhex(F.sha2("text", 256)).alias("h")), "contents")
     copies = cut(content.groupBy("h").agg(F.min("doc_id").alias("v")), "copies")
-    written = cut(word_prints(named, tables, size), "prints")
-    prints = written.join(copies.select(F.col("v").alias("doc_id")), "doc_id", "left_semi")
-    each = cut(prints.select(F.posexplode("fps").alias("t", "fp"), "doc_id"), "each")
-    flat = cut(each.groupBy("t", "fp").agg(F.min("doc_id").alias("v")), "classes")
-    within = each.withColumnRenamed("doc_id", "b").join(flat.withColumnRenamed("v", "a"), ["t", "fp"]).select("a", "b").where("a < b")
-    edges = cut(_reachable(links(flat, radius).unionByName(within).distinct(), written, min_similarity), "candidates")
-    lead = components(_verified(named, edges, size, min_similarity)).select(F.col("v").alias("doc_id"), F.col("c").alias("leader"))
+    firsts = named.join(copies.select(F.col("v").alias("doc_id")), "doc_id", "left_semi")
+    prints = cut(set_prints(firsts, size, min_similarity, common_shingles(named, content.count(), size)), "prints")
+    each = prints.select("doc_id", "n", F.explode("prefix").alias("x"))
+    shared = each.groupBy("x").agg(F.min("doc_id").alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1").withColumnRenamed("x", "y")
+    live = cut(each.join(shared, F.col("x") == F.col("y")).select("x", "doc_id", "n", "m", "c"), "shared")
+    stars = live.where("doc_id <> m").select(F.col("m").alias("a"), F.col("doc_id").alias("b")).distinct()
+    found = _similar(named, stars, prints, size, min_similarity)
+    lead = cut(components(found), "leads")
+    placed = live.where("c > 2").join(lead.withColumnsRenamed({"v": "doc_id", "c": "own"}), "doc_id", "left")
+    placed = cut(placed.select("x", "doc_id", "n", "m", F.coalesce("own", "doc_id").alias("g")), "placed")
+    split = placed.groupBy("x").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("x")
+    open_ = cut(placed.join(split, "x", "left_semi"), "open")
+    a, b = (open_.select("x", *(F.col(k).alias(e + k) for k in ("doc_id", "n", "m", "g"))) for e in "ab")
+    sized = (F.col("an") >= min_similarity * F.col("bn") - 1e-6) & (F.col("bn") >= min_similarity * F.col("an") - 1e-6)
+    rest = a.join(b, "x").where((F.col("adoc_id") < F.col("bdoc_id")) & (F.col("ag") != F.col("bg")) & (F.col("adoc_id") != F.col("am")) & sized)
+    more = _similar(named, rest.select(F.col("adoc_id").alias("a"), F.col("bdoc_id").alias("b")).distinct(), prints, size, min_similarity)
+    lead = components(more.unionByName(lead.select(F.col("c").alias("a"), F.col("v").alias("b")))).select(F.col("v").alias("doc_id"), F.col("c").alias("leader"))
     exact = content.join(copies, "h").where("v <> doc_id").select("doc_id", "v")
     exact = exact.join(lead.withColumnRenamed("doc_id", "v"), "v", "left").select("doc_id", F.coalesce("leader", "v").alias("leader"))
     return lead.unionByName(exact)
 
 
+def _similar(docs: DataFrame, edges: DataFrame, prints: DataFrame, size: int, least: float) -> DataFrame:
+    return cut(_verified(docs, cut(_reachable(edges, prints, least), "candidates"), size, least), "similar")
+
+
+def common_shingles(docs: DataFrame, rows: int, size: int, sample: int = 20_000, most: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, counts) of shingles that several texts of a sample of about ``sample`` rows have, ``most`` at most."""
+
+    def batch(cols: dict[str, list]) -> dict[str, list]:
+        return {"x": np.concatenate([np.unique(hashes(t, size)) for t in cols["text"]]).view(np.int64)}
+
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, rows // sample))) == 0).select("text")
+    got = map_slices(some, batch, "x long").groupBy("x").agg(F.count(F.lit(1)).alias("c")).where("c > 2").orderBy(F.desc("c"), "x").limit(most).collect()
+    x = np.array([r.x for r in got], dtype=np.int64).view(np.uint64)
+    order = np.argsort(x)
+    return x[order], np.array([r.c for r in got], dtype=np.int64)[order]
+
+
+def prefix(text: str | None, size: int, least: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Hashes of the shingles of a text's prefix; of a text without a word, a zero."""
+    u = np.unique(hashes(text, size))
+    if not len(u):
+        return np.zeros(1, dtype=np.int64)
+    known, counts = common
+    weight = np.zeros(len(u), dtype=np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, u), len(known) - 1)
+        weight = np.where(known[at] == u, counts[at], 0)
+    keep = len(u) - int(np.ceil(least * len(u) - 1e-6)) + 1
+    return u[np.argsort(weight, kind="stable")[:keep]].view(np.int64)
+
+
+def set_prints(docs: DataFrame, size: int, least: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(doc_id, prefix array<long>, n long, s0 .. long): prefix, elements and sketch of a text's set of shingles."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)
+
+    def batch(cols: dict[str, list]) -> dict[str, list]:
+        u, bits = zip(*(sketch(t, size) for t in cols["text"]), strict=True)
+        first = [prefix(t, size, least, shared.value) for t in cols["text"]]
+        return {"doc_id": cols["doc_id"], "prefix": first, "n": list(map(len, u))} | {f"s{i}": [int(b[i]) for b in bits] for i in range(SKETCH)}
+
+    longs = ", ".join(f"s{i} long" for i in range(SKETCH))
+    return map_slices(docs.select("doc_id", "text"), batch, f"doc_id long, prefix array<long>, n long, {longs}")
+
+
 def _reachable(edges: DataFrame, prints: DataFrame, least: float) -> DataFrame:
     """The edges (a, b) but those whose sets of shingles are too unlike for certain, by their sizes and sketches.
 

@@ -255,6 +255,28 @@ def test_similar_groups(spark, odd):
     assert by_id(simhash.similar_groups(odd), "leader")[6] == 5
 
 
+def brute_leaders(texts, least=0.8):
+    sets, comp = [set(simhash.shingles(t, 5)) for _, t in texts], list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]) and comp[a] != comp[b]:
+                lo, hi = sorted((comp[a], comp[b]))
+                comp = [lo if c == hi else c for c in comp]
+    return {texts[i][0]: texts[c][0] for i, c in enumerate(comp) if c != i}
+
+
+def test_similar_groups_within_one_word_set(spark):
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(60)] * 5
+    r.shuffle(words)
+    other = r.sample(words, len(words))
+    swapped = other[:]
+    swapped[100], swapped[101] = swapped[101], swapped[100]
+    texts = [(i, " ".join(w)) for i, w in enumerate((words, other, swapped), 1)]
+    assert brute_leaders(texts) == {3: 2}
+    assert by_id(simhash.similar_groups(spark.createDataFrame(texts, DOCS)), "leader") == {3: 2}
+
+
 # 9 decontamination
 
 
