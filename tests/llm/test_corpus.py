@@ -277,6 +277,20 @@ def test_similar_groups_within_one_word_set(spark):
     assert by_id(simhash.similar_groups(spark.createDataFrame(texts, DOCS)), "leader") == {3: 2}
 
 
+def test_similar_groups_finds_block_edits(spark):
+    r = random.Random(6)
+    word = lambda: f"w{r.randint(0, 4000)}"
+    phrase, texts = " ".join(word() for _ in range(40)), []
+    for _ in range(25):
+        base = [word() for _ in range(r.randint(200, 500))]
+        n, at = len(base), r.randint(0, 150)
+        for added, gone in ((0, 0), (0.1, 0), (0.15, 0), (0.2, 0), (0.06, 0.06), (0.09, 0.09), (0.3, 0)):
+            texts.append(" ".join(base[:at] + [word() for _ in range(int(added * n))] + base[at + int(gone * n) :] + [phrase]))
+    texts = list(enumerate(texts))
+    want = brute_leaders(texts)
+    assert len(want) > 100 and by_id(simhash.similar_groups(spark.createDataFrame(texts, DOCS)), "leader") == want
+
+
 # 9 decontamination
 
 
