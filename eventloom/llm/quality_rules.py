@@ -76,12 +76,20 @@ def measure(text: str | None) -> dict:
     h = np.fromiter(map(hash, words), dtype=np.int64, count=n).view(np.uint64)
     repeat = 0
     share, top = dict.fromkeys(NGRAMS, 0.0), dict.fromkeys(TOP_NGRAMS, 0.0)
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=n)
+    whole = max(1, int(sizes.sum()))
+
+    def most(k: int) -> float:
+        _, _, size = repeated(w := windows(h, k))
+        i = int(size.argmax())
+        return float(sizes[cover(w == w[i], k, n)].sum()) / whole if size[i] > 1 else 0.0
+
+    if n >= 2:
+        top[2] = most(2)  # two words can repeat where no three do
     if n >= 3:
         many, _, _ = repeated(windows(h, 3))
         if many.any():
             repeat = int(cover(many, 3, n).sum())
-            sizes = np.fromiter(map(len, words), dtype=np.int64, count=n)
-            whole = max(1, int(sizes.sum()))
             for k in NGRAMS:
                 if n >= k:
                     _, later, _ = repeated(windows(h, k))
@@ -89,10 +97,8 @@ def measure(text: str | None) -> dict:
                         break  # longer n-grams don't repeat either
                     share[k] = float(sizes[cover(later, k, n)].sum()) / whole
             for k in TOP_NGRAMS:
-                if n >= k:
-                    _, _, size = repeated(w := windows(h, k))
-                    if (i := int(size.argmax())) >= 0 and size[i] > 1:
-                        top[k] = float(sizes[cover(w == w[i], k, n)].sum()) / whole
+                if 2 < k <= n:
+                    top[k] = most(k)
     failed = n < 50 or 100 * repeat > 50 * n
     line_share = dup_line_chars / max(1, len(t))
     ok = all(share[k] <= m for k, m in NGRAMS.items()) and all(top[k] <= m for k, m in TOP_NGRAMS.items()) and dup_lines <= MAX_DUP_LINES * (lines + dup_lines) and line_share <= MAX_DUP_LINE_CHARS

@@ -157,6 +157,43 @@ def brute_rules(text):
     return len(words), sum(map(len, words)), sum((text or "").count(c) for c in "#*$%&|<>"), dup, len(marked), len(words) < 50 or 100 * len(marked) > 50 * len(words)
 
 
+def brute_shares(text):
+    """kept, dup_ngram_chars and top_ngram_chars from word tuples; sizes in UTF-8 bytes."""
+    words = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", text or "") if w]
+    whole = max(1, sum(len(w.encode()) for w in words))
+
+    def held(starts, k):
+        return sum(len(words[j].encode()) for j in {j for i in starts for j in range(i, i + k)}) / whole
+
+    dup, top = {}, {}
+    for k in range(2, 11):
+        wins = [tuple(words[i : i + k]) for i in range(len(words) - k + 1)]
+        if k >= 5:
+            seen = set()
+            dup[k] = held([i for i, w in enumerate(wins) if w in seen or seen.add(w)], k)
+        elif wins:
+            best = max(map(wins.count, wins))
+            first = next(w for w in wins if wins.count(w) == best)
+            top[k] = held([i for i, w in enumerate(wins) if w == first], k) if best > 1 else 0.0
+    lines = (text or "").split("\n")
+    again = [x for i, x in enumerate(lines) if x.strip(" \t\n\v\f\r") and x in lines[:i]]
+    filled = sum(bool(x.strip(" \t\n\v\f\r")) for x in lines)
+    share = sum(map(len, again)) / max(1, len(text or ""))
+    fine = all(dup[k] <= m for k, m in quality_rules.NGRAMS.items()) and all(top.get(k, 0) <= m for k, m in quality_rules.TOP_NGRAMS.items())
+    kept = fine and len(again) <= 0.3 * filled and share <= 0.2 and not brute_rules(text)[5]
+    return kept, max(dup.values()), max(top.values(), default=0.0)
+
+
+def test_quality_shares_equal_brute_force(docs):
+    spam = " ".join(f"buy now code{i:02d}" for i in range(60))
+    texts = [r.text for r in docs.limit(40).collect() if len(r.text) < 4000] + [spam, "a b a b", "a a", "x", "", None, "one two three four five six " * 40, " ".join(map(str, range(80)))]
+    for t in texts:
+        m = quality_rules.measure(t)
+        kept, dup, top = brute_shares(t)
+        assert m["kept"] == kept and (m["dup_ngram_chars"], m["top_ngram_chars"]) == pytest.approx((dup, top)), t
+    assert quality_rules.measure(spam)["top_ngram_chars"] == 0.5 and not quality_rules.measure(spam)["kept"]
+
+
 def test_quality_rules(spark, docs, odd):
     texts = [r.text for r in docs.limit(60).collect() if len(r.text) < 6000] + ["a b c a b c", "x y z\x1cq", "l\nl\n \n \n", None, ""]
     for t in texts:
