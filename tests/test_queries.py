@@ -40,6 +40,15 @@ def test_query(spark, duck, name):
         assert got == plain(cur.fetchall(), names)
 
 
+def test_scattered_join_has_no_last_position(spark, monkeypatch):
+    far = [0, 97, 98, 97 * 10_810, 97 * 10_811, 97 * 10_811 + 1, 97 * 1_000_000]
+    rows = spark.createDataFrame([(p,) for p in far], "position long").withColumns({c: F.lit(None).cast("string") for c in catalogue._SHOWN[1:]})
+    monkeypatch.setattr(catalogue, "stored_events", lambda spark, d: rows)
+    assert [r.position for r in catalogue.scattered_join(spark, DATA).collect()] == [p for p in far if p % 97 == 0]
+    monkeypatch.setattr(catalogue, "stored_events", lambda spark, d: rows.limit(0))
+    assert catalogue.scattered_join(spark, DATA).count() == 0
+
+
 def test_entry(spark):
     import __spark_entry__
 
