@@ -6,7 +6,9 @@ occurrence with the smallest (doc_id, position) is the first. Each later one cov
 first occurrence of the same window covers itself; covered positions are merged and their lines removed.
 
 A text of one or two lines has one window, all its lines, if these have ``min_words`` words or more. Windows without a
-letter or digit are not compared (blank lines).
+letter or digit are not compared (blank lines). With ``pairs``, every two consecutive lines that hold more than
+``long_line_words`` words together are hashed too, and cover their lines like a long line. The registered query leaves
+them out, as its SQL does; the pipeline's stage has them.
 
 Defined cases: a null text stays null with 0 lines; an empty text is one blank line and stays; ties (equal doc_id in
 repeated rows) are broken by the row's content hash, and rows equal in both get the same decision: they all stay or all
@@ -39,7 +41,7 @@ def _has_words(x: Column, n: int) -> Column:
     return x.rlike(f"^{_GAP}*+(?:{_WORD}++{_GAP}++){{{n - 1}}}{_WORD}")
 
 
-def _windows(lines: Column, long_line_words: int, min_words: int) -> Column:
+def _windows(lines: Column, long_line_words: int, min_words: int, pairs: bool) -> Column:
     """array<struct<p, n, h1, h2>> of the windows of an array of lines."""
     n = F.size(lines)
     size = F.least(n, F.lit(WINDOW))
@@ -58,17 +60,26 @@ def _windows(lines: Column, long_line_words: int, min_words: int) -> Column:
     enough = 2 * (long_line_words + 1) - 1  # characters of so many words
     longs = F.transform(lines, lambda x, i: F.when((n > 1) & (F.length(x) >= enough) & _has_words(x, long_line_words + 1), hashed(i, F.lit(1), x)))
     # a text of one line has that one window
-    return F.filter(F.concat(threes, longs), lambda w: w.isNotNull())
+    kinds = [threes, longs]
+    if pairs:
 
+        def two(i: Column) -> Column:
+            keep = lambda body: F.when((F.length(body) >= enough) & _has_words(body, long_line_words + 1), hashed(i, F.lit(2), body))
+            return _let(F.array_join(F.slice(lines, i + 1, 2), "\n"), keep)
 
-def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", long_line_words: int = 50, min_words: int = 13) -> DataFrame:
+        # a text of two lines has that one window
+        kinds.append(F.when(n > 2, F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), two)).otherwise(F.array()))
+    return F.filter(F.concat(*kinds), lambda w: w.isNotNull())
+
+
+def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", long_line_words: int = 50, min_words: int = 13, pairs: bool = False) -> DataFrame:
     """``docs`` with ``text`` cleaned, and the columns n_lines, n_removed (long) and removed (array of line positions)."""
     lines = F.split(F.col(text), "\n", -1)
     # A row is told apart by its key and the hash of its text: equal rows decide alike.
     rid = F.xxhash64(F.col(text))
     occ = (
         docs.where(F.col(text).isNotNull())
-        .select(F.col(key).alias("k"), rid.alias("r"), F.explode(_let(lines, lambda x: _windows(x, long_line_words, min_words))).alias("w"))
+        .select(F.col(key).alias("k"), rid.alias("r"), F.explode(_let(lines, lambda x: _windows(x, long_line_words, min_words, pairs))).alias("w"))
         .select("k", "r", F.col("w.p").alias("p"), F.col("w.n").alias("n"), F.col("w.h1").alias("h1"), F.col("w.h2").alias("h2"))
     )
     first = (

@@ -58,6 +58,18 @@ def test_line_dedup_cases(spark, odd):
     assert out.count() == len(ODD) and out.where("text is null").count() == 1 and out.columns.count("n_lines") == 1
 
 
+def test_line_pairs(spark):
+    one, two = (" ".join(f"{p}{i}" for i in range(30)) for p in "ab")
+    rows = [(1, f"x\n{one}\n{two}\ny"), (2, f"q\nr\n{one}\n{two}\ns"), (3, f"{one}\n{two}"), (4, f"m\n{one}\nn"), (5, f"k\n{one}\nshort\nl"), (6, f"{one}\nshort\nz"), (7, f"z\n{one}\n{two}\n{two}\n{one}\n{two}")]
+    df = spark.createDataFrame(rows, DOCS)
+    assert by_id(line_dedup.line_dedup(df, pairs=True), "removed") == {1: [], 2: [2, 3], 3: [0, 1], 4: [], 5: [], 6: [], 7: [1, 2, 4, 5]}
+    assert by_id(line_dedup.line_dedup(df), "removed")[2] == []
+    import corpus_pipeline as C
+
+    wide = df.withColumn("n_chars", F.length("text").cast("long"))
+    assert by_id(C.line_dedup_stage(spark, wide, ""), "text")[2] == "q\nr\ns"
+
+
 def test_empty_tables(spark, odd):
     none = odd.limit(0)
     for df in (line_dedup.line_dedup(none), secrets.scan_versions(none)[0], quality_rules.quality_rules(none), simhash.near_duplicates(none), simhash.similar_groups(none), langid.identify(none, None), toxicity.score(none, None), quality_pu.score(none, None), D.find_leaks(none, spark.createDataFrame([], "item_id long, text string")), pieces.encode_documents(none, head=10)):
