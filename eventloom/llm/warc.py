@@ -136,19 +136,20 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def revisits(pages: DataFrame) -> DataFrame:
-    """(page_id, refers_to) of pages whose payload of MIN_REVISIT bytes or more the page with the largest id of that payload has too."""
+    """(page_id, d, refers_to) of pages whose payload of MIN_REVISIT bytes or more the page with the largest id of that payload has too; d is its SHA-256."""
     body = F.coalesce(F.col("html"), F.lit(""))
     d = pages.where(F.octet_length(body) >= MIN_REVISIT).select("page_id", F.unhex(F.sha2(body, 256)).alias("d"))
     top = d.groupBy("d").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("c")).where("c > 1 and refers_to is not null").drop("c")
-    return d.join(top, "d").where("page_id is null or page_id <> refers_to").select("page_id", "refers_to").distinct()
+    return d.join(top, "d").where("page_id is null or page_id <> refers_to").select("page_id", "d", "refers_to").distinct()
 
 
 def archive(pages: DataFrame, path: str) -> None:
     """Write ``pages`` (page_id, url, html) as WARC archives, through ARC records of both versions."""
     body = F.coalesce(F.col("html"), F.lit(""))
     r = revisits(pages).withColumnRenamed("page_id", "p")
-    big = F.octet_length(body) >= MIN_REVISIT
-    j = pages.join(r, F.col("page_id").eqNullSafe(F.col("p")) & big, "left")
+    # an id alone may be null or repeated, with other payloads
+    own = F.when(F.octet_length(body) >= MIN_REVISIT, F.unhex(F.sha2(body, 256)))
+    j = pages.join(r, F.col("page_id").eqNullSafe(F.col("p")) & (own == F.col("d")), "left")
     when = F.date_format(F.timestamp_seconds(F.lit(946684800) + F.coalesce(F.col("page_id"), F.lit(0)) % 500_000_000), "yyyyMMddHHmmss")
     arc = arc_record(F.col("url"), body, when, F.coalesce(F.pmod(F.col("page_id"), F.lit(2)), F.lit(0)) + 1)
     write_warc(convert(j.select(arc.alias("arc"), "page_id", "refers_to")), path)

@@ -156,6 +156,17 @@ def test_arc_and_warc(spark, tmp_path):
     assert {bytes(r.payload) for r in rows if r.page_id == 7} == {trap.encode()}
 
 
+def test_revisits_of_null_and_repeated_ids(spark, tmp_path):
+    a, c, d = "a" * 1500, "c" * 1500, "d" * 1500
+    pages = [(None, "u", a), (5, "u", a), (None, "u", c), (7, "u", d), (8, "u", d), (7, "u", c), (None, "u", d), (9, "u", "x"), (9, "u", c + d)]
+    warc.archive(spark.createDataFrame(pages, "page_id long, url string, html string"), str(tmp_path / "w"))
+    rows = warc.read_warc(spark, str(tmp_path / "w")).collect()
+    sha = {hashlib.sha1(x.encode()).hexdigest(): x for _, _, x in pages}
+    got = sorted((r.page_id or 0, sha[r.payload_digest][:1], r.record_type, r.refers_to or 0) for r in rows)
+    assert got == [(0, "a", "revisit", 5), (0, "c", "revisit", 7), (0, "d", "revisit", 8), (5, "a", "response", 0), (7, "c", "response", 0), (7, "d", "revisit", 8), (8, "d", "response", 0), (9, "c", "response", 0), (9, "x", "response", 0)]
+    assert {bytes(r.payload).decode() for r in rows if r.payload is not None} == set(sha.values())
+
+
 # 6 quality rules
 
 
