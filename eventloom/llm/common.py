@@ -1,65 +1,52 @@
-"""What the corpus operators share: scratch tables, batched maps over texts, word splitting, bounded samples."""
+"""What the corpus operators share: batched maps over texts, word splitting and hashing, bounded samples."""
 
 from __future__ import annotations
 
-import atexit
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from eventloom.scratch import cut, discard, new_path, root
+
+__all__ = ["BASE", "SLICE", "codes", "cut", "discard", "distinct", "excerpt", "fold", "free_name", "has_letter", "keep_where", "labelled_sample", "lower_ascii", "map_slices", "mix64", "named", "new_path", "root", "table", "word_hashes", "words_of"]
 
 #: Rows that a Python map holds as Python objects at a time.
 SLICE = 256
-#: Rows of one Arrow batch handed to a Python worker.
+#: Multiplier of the polynomial hashes.
+BASE = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; where it is unset (tests), a temporary folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="eventloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends there, lost executors don't matter."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/eventloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(discard, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
 
+def named(column: str) -> Column:
+    """A column by its plain name, with dots, blanks or quotes in it or not."""
+    return F.col("`" + column.replace("`", "``") + "`")
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a scratch table, on whatever file system it lies; a stopped session leaves it to the cluster's own cleaning."""
-    try:
-        if spark.sparkContext._jsc is not None:
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # noqa: BLE001  the JVM is gone at exit
-        pass
 
+def free_name(wanted: str, *taken: list[str]) -> str:
+    """``wanted``, or with underscores behind it, such that no column is called so (Spark ignores case)."""
+    used = {c.lower() for names in taken for c in names}
+    while wanted.lower() in used:
+        wanted += "_"
+    return wanted
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-
-def map_slices(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list] | pa.RecordBatch | None], schema: str, setup: Callable[[], object] | None = None) -> DataFrame:
+def map_slices(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list] | None], schema: str | StructType, setup: Callable[[], object] | None = None) -> DataFrame:
     """Apply ``fn`` to column lists of at most SLICE rows; it returns column lists in the order of ``schema``.
 
     ``setup`` runs once in each task, its result is passed as the second argument.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
 
-    out = to_arrow_schema(_parse_datatype_string(schema))
+    kind = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    out = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = setup() if setup else None
@@ -71,7 +58,23 @@ def map_slices(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list] |
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in out], schema=out)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, kind)
+
+
+def keep_where(df: DataFrame, column: str, good: Callable[[list], list[bool]]) -> DataFrame:
+    """The rows of ``df`` whose value of ``column`` is ``good``. Other columns, whatever their names and types, pass as they are."""
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, SLICE):
+                part = batch.slice(lo, SLICE)
+                kept = part.filter(pa.array(good(part.column(at).to_pylist()), pa.bool_()))
+                yield pa.RecordBatch.from_arrays(kept.columns, names=names)
+
+    names = df.columns
+    # numbered meanwhile: a name with a dot can't be asked for
+    return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(run, df.schema)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -96,28 +99,73 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fold(key: str, mod: int):
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different values, ascending."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+_GAP = np.zeros(256, dtype=bool)
+_GAP[[32, *range(9, 14)]] = True
+
+
+def word_hashes(raw: bytes, block: int = 1 << 20) -> np.ndarray:
+    """A 64-bit hash of each word of ``raw`` (as ``raw.split()`` has them): a polynomial of its bytes, mixed.
+
+    Blocks end between words, so memory follows ``block`` and the longest word, not the text.
+    """
+    out, at = [], 0
+    while at < len(raw):
+        end = min(len(raw), at + block)
+        while end < len(raw) and not _GAP[raw[end]]:  # on to the end of the word
+            end += 1
+        c = np.frombuffer(raw, dtype=np.uint8, count=end - at, offset=at)
+        at = end
+        inside = ~_GAP[c]
+        step = np.diff(inside.view(np.int8), prepend=0, append=0)
+        first, size = np.flatnonzero(step == 1), 0
+        size = np.flatnonzero(step == -1) - first
+        if not len(first):
+            continue
+        power = np.multiply.accumulate(np.full(int(size.max()), BASE, dtype=np.uint64))
+        starts = np.cumsum(size) - size
+        within = np.arange(int(size.sum())) - np.repeat(starts, size)
+        terms = (c[inside].astype(np.uint64) + np.uint64(1)) * power[within]
+        out.append(mix64(np.add.reduceat(terms, starts) + size.astype(np.uint64)))
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
+
+
+def fold(key: str, mod: int) -> Column:
     """crc32(doc_id as text) mod ``mod``; a null id is in fold 0."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % mod, F.lit(0))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep, rows: int, max_chars: int) -> list[tuple[str, int]]:
-    """At most ``rows`` labelled texts for training, in the order of a hash of the id.
+def excerpt(text: str, most: int, pieces: int = 8) -> Column:
+    """The text, or if it has over ``most`` characters, ``pieces`` parts of it at equal distances, ``most`` characters together."""
+    each = most // pieces
+    step = (F.char_length(text) - each) / (pieces - 1)
+    parts = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: F.substring(F.col(text), (i * step).cast("int") + 1, F.lit(each)))
+    return F.when(F.char_length(text) > most, F.array_join(parts, " ")).otherwise(F.col(text))
 
-    ``keep`` is a condition on doc_id. Only ids are ordered and limited; their texts then come by a broadcast of these
-    ``rows`` ids. Texts over ``max_chars`` characters are not trained on (they are scored like any other).
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, rows: int, max_chars: int) -> list[tuple[str, int]]:
+    """At most ``rows`` labelled texts for training, in the order of a hash of the id; of texts longer than ``max_chars``
+    characters an ``excerpt``.
+
+    ``keep`` is a condition on doc_id. Only ids are ordered and limited first; their texts come by a broadcast of these
+    ``rows`` ids, and since ids may repeat the rows are limited once more.
     """
+    own = free_name("label", docs.columns)
     ids = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & keep)
-        .groupBy("doc_id").agg(F.max(label).cast("int").alias("label_"))
+        .groupBy("doc_id").agg(F.max(label).cast("int").alias(own))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
-    got = (
-        docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-        .join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label_").collect()
-    )
-    return [(r[1], r[2]) for r in sorted(got)]
+    found = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id")
+    got = found.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(rows).select("doc_id", excerpt("text", max_chars), own)
+    return [(r[1], r[2]) for r in got.collect()]
 
 
-def letters(text: str) -> bool:
-    return bool(re.search(r"[^\W\d_]", text))
+def has_letter(text: str | None) -> bool:
+    """Whether a character of ``text`` is a letter (Unicode category L): not a digit, a fraction or a Roman numeral sign."""
+    return bool(text) and any(map(str.isalpha, text))
