@@ -10,10 +10,10 @@ letter or digit are not compared (blank lines). With ``pairs``, every two consec
 ``long_line_words`` words together are hashed too, and cover their lines like a long line. The registered query leaves
 them out, as its SQL does; the pipeline's stage has them.
 
-Defined cases: a null text stays null with 0 lines; an empty text is one blank line and stays; ties (equal doc_id in
-repeated rows) are broken by the row's content hash, and rows equal in both get the same decision: they all stay or all
-go from the second position on. A null doc_id counts as smaller than any other. Other columns pass through unchanged;
-names beginning with ``_ld_`` are reserved.
+Defined cases: an empty table gives an empty one; a null text stays null with 0 lines; an empty text is one blank line and
+stays; ties (equal doc_id in repeated rows) are broken by the row's content hash, and rows equal in both get the same
+decision, that of the first: what it keeps they all keep. A null doc_id counts as smaller than any other. Other columns
+pass through unchanged, whatever their names; columns called n_lines, n_removed or removed are replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_name, named, table
 
 WINDOW = 3
 
@@ -74,12 +74,13 @@ def _windows(lines: Column, long_line_words: int, min_words: int, pairs: bool) -
 
 def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", long_line_words: int = 50, min_words: int = 13, pairs: bool = False) -> DataFrame:
     """``docs`` with ``text`` cleaned, and the columns n_lines, n_removed (long) and removed (array of line positions)."""
-    lines = F.split(F.col(text), "\n", -1)
+    body, own = named(text), named(key)
+    lines = F.split(body, "\n", -1)
     # A row is told apart by its key and the hash of its text: equal rows decide alike.
-    rid = F.xxhash64(F.col(text))
+    rid = F.xxhash64(body)
     occ = (
-        docs.where(F.col(text).isNotNull())
-        .select(F.col(key).alias("k"), rid.alias("r"), F.explode(_let(lines, lambda x: _windows(x, long_line_words, min_words, pairs))).alias("w"))
+        docs.where(body.isNotNull())
+        .select(own.alias("k"), rid.alias("r"), F.explode(_let(lines, lambda x: _windows(x, long_line_words, min_words, pairs))).alias("w"))
         .select("k", "r", F.col("w.p").alias("p"), F.col("w.n").alias("n"), F.col("w.h1").alias("h1"), F.col("w.h2").alias("h2"))
     )
     first = (
@@ -89,22 +90,23 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", long_li
     )
     same = F.col("k").eqNullSafe(F.col("first.k")) & (F.col("r") == F.col("first.r"))
     start = F.when(same, F.greatest(F.col("p"), F.col("first.p") + F.col("n"))).otherwise(F.col("p"))
+    k, r, gone, mine = (free_name(x, docs.columns) for x in ("k", "r", "gone", "row"))
+    # a set: equal rows bring equal spans, which collapse before the shuffle
     covered = (
         occ.join(first, ["h1", "h2", "n"])
         .withColumn("s", start).withColumn("e", F.col("p") + F.col("n")).where("s < e")
-        .groupBy("k", "r").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("s"), F.col("e") - 1))))).alias("_ld_removed"))
-        .withColumnRenamed("k", "_ld_k").withColumnRenamed("r", "_ld_r")
+        .groupBy(F.col("k").alias(k), F.col("r").alias(r)).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("s"), F.col("e") - 1))))).alias(gone))
     )
-    out = docs.withColumn("_ld_rid", rid)
-    out = out.join(covered, F.col(key).eqNullSafe(F.col("_ld_k")) & (F.col("_ld_rid") == F.col("_ld_r")), "left")
-    kept = _let(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_ld_removed")), lambda i: F.get(x, i)), "\n"))
-    cleaned = F.when(F.col("_ld_removed").isNull(), F.col(text)).otherwise(kept)
+    out = docs.withColumn(mine, rid)
+    out = out.join(covered, own.eqNullSafe(F.col(k)) & (F.col(mine) == F.col(r)), "left")
+    kept = _let(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(gone)), lambda i: F.get(x, i)), "\n"))
+    cleaned = F.when(F.col(gone).isNull(), body).otherwise(kept)
     fresh = {
-        "n_lines": F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"),
-        "n_removed": F.when(F.col("_ld_removed").isNull(), F.lit(0)).otherwise(F.size("_ld_removed")).cast("long"),
-        "removed": F.coalesce(F.col("_ld_removed"), F.array().cast("array<int>")),
+        "n_lines": F.when(body.isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"),
+        "n_removed": F.when(F.col(gone).isNull(), F.lit(0)).otherwise(F.size(gone)).cast("long"),
+        "removed": F.coalesce(F.col(gone), F.array().cast("array<int>")),
     }
-    rest = [F.col(c) for c in docs.columns if c not in (*fresh, text)]
+    rest = [named(c) for c in docs.columns if c not in (*fresh, text)]
     return out.select(*rest, cleaned.alias(text), *[c.alias(n) for n, c in fresh.items()])
 
 
