@@ -13,8 +13,11 @@ radius <= 2; every fingerprint with the key takes part, none is left out.
 Copies collapse first: texts with one fingerprint are one class, represented by its smallest id. Components are found by
 alternating large-star and small-star steps on class representatives, with a written table after each round.
 
-Defined cases: a null text has no word, so its fingerprint is zero, linked like any other; repeated rows give a row each;
-rows with a null id get their fingerprint, and the component of their class. Other columns are ignored.
+``similar_groups`` and ``keep_one`` find groups by the similarity of shingle sets instead, for the pipeline.
+
+Defined cases: an empty table gives an empty one; a null text has no word, so its fingerprint is zero, linked like any
+other; repeated rows and ids give a row each; rows with a null id get their fingerprint and the component of their class
+(null if all of a component's ids are null). Other columns, whatever their names, are ignored or (``keep_one``) pass.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, lower_ascii, map_slices, mix64, table, words_of
+from .common import BASE, cut, distinct, free_name, lower_ascii, map_slices, mix64, named, table, word_hashes, words_of
 
 SEGMENTS = 8
 BITS = 64
@@ -70,33 +73,23 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     return map_slices(docs.select("doc_id", "text"), batch, "doc_id long, fp long")
 
 
-def sketch(text: str | None, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(u, bits): the set of 32-bit hashes of a text's shingles, and SKETCH longs in which bit x mod 64 * SKETCH is
-    toggled for every x of u. Two sets differ in at least as many elements as their longs differ in bits."""
-    u = np.unique((hashes(text, size) >> np.uint64(32)).astype(np.uint32))
-    odd = np.bincount(u & np.uint32(BITS * SKETCH - 1), minlength=BITS * SKETCH) & 1
-    return u, np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
-
-
-def word_prints(docs: DataFrame, tables: int, size: int) -> DataFrame:
-    """(doc_id, fps array<long>, n long, s0 .. long) of whole texts.
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """The different 64-bit hashes of a text's shingles, ascending: polynomials of its words' hashes."""
+    w = word_hashes(lower_ascii(text.encode("utf-8", "surrogatepass"))) if text else np.zeros(0, np.uint64)
+    if not len(w):
+        return w
+    size = min(size, len(w))  # fewer words are one shingle
+    h = np.zeros(len(w) - size + 1, dtype=np.uint64)
+    for i in range(size):
+        h = h * BASE + w[i : i + len(h)]
+    return distinct(mix64(h + np.uint64(size)))
 
-    fps: ``tables`` SimHashes of a text's set of words. n, s0 ..: elements and sketch of its set of ``size``-word shingles.
-    """
 
-    def batch(cols: dict[str, list]) -> dict[str, list]:
-        fps, n, bits = [], [], []
-        for t in cols["text"]:
-            words = {lower_ascii(w) for w in words_of(t)}
-            h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), dtype=np.uint64, count=len(words))
-            fps.append([signed(majority(mix64(h + np.uint64((i * 0x9E3779B97F4A7C15) % (1 << 64))))) if len(h) else 0 for i in range(tables)])
-            u, b = sketch(t, size)
-            n.append(len(u))
-            bits.append(b)
-        return {"doc_id": cols["doc_id"], "fps": fps, "n": n} | {f"s{i}": [int(b[i]) for b in bits] for i in range(SKETCH)}
-
-    longs = ", ".join(f"s{i} long" for i in range(SKETCH))
-    return map_slices(docs.select("doc_id", "text"), batch, f"doc_id long, fps array<long>, n long, {longs}")
+def sketch(u: np.ndarray) -> np.ndarray:
+    """SKETCH longs in which bit x mod 64 * SKETCH is toggled for every x of a set: two sets differ in at least as many
+    elements as their longs differ in bits."""
+    odd = np.bincount((u & np.uint64(BITS * SKETCH - 1)).astype(np.int64), minlength=BITS * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def ring(radius: int) -> tuple[int, list[int]]:
@@ -196,61 +189,107 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def similar_groups(docs: DataFrame, size: int = 5, min_similarity: float = 0.8) -> DataFrame:
-    """(doc_id, leader) for ids of (doc_id, text) that have a leader other than themselves.
+    """(d, h, id, first, rows, leader): every different pair of an id (``d``, as text) and a content (``h``, SHA-256), with
+    the content's number, its first (smallest) id, how many rows the pair has, and the number of the content that leads
+    its group. A content may lead itself.
 
     Two texts are linked if the sets of their ``size``-word shingles have a Jaccard similarity of ``min_similarity`` or
-    more; the smallest id of a component of such links leads it. Copies of a text follow its first id.
+    more (texts without a word are linked with each other); the content with the smallest first id of a component of such
+    links leads it, nulls last, then the smallest hash. Ids play no other part: they may be null or repeated.
 
     The links are found exactly, by a prefix filter: with the shingles of all sets in one order, two sets so similar share
     one of the first n - ceil(min_similarity * n) + 1 of each. The order puts shingles common in a sample last; it decides
     how many candidates there are, never which links are found. First each prefix shingle links its texts to the smallest
-    id. Then all pairs are compared that share one and are still in two components: pairs within one can't change it.
+    number. Then all pairs are compared that share one and are still in two components: pairs within one can't change it.
     """
-    named = docs.where("doc_id is not null").select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    content = cut(named.select("doc_id", F.unhex(F.sha2("text", 256)).alias("h")), "contents")
-    copies = cut(content.groupBy("h").agg(F.min("doc_id").alias("v")), "copies")
-    firsts = named.join(copies.select(F.col("v").alias("doc_id")), "doc_id", "left_semi")
-    prints = cut(set_prints(firsts, size, min_similarity, common_shingles(named, content.count(), size)), "prints")
-    each = prints.select("doc_id", "n", F.explode("prefix").alias("x"))
-    shared = each.groupBy("x").agg(F.min("doc_id").alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1").withColumnRenamed("x", "y")
-    live = cut(each.join(shared, F.col("x") == F.col("y")).select("x", "doc_id", "n", "m", "c"), "shared")
-    stars = live.where("doc_id <> m").select(F.col("m").alias("a"), F.col("doc_id").alias("b")).distinct()
-    found = _similar(named, stars, prints, size, min_similarity)
+    keyed = _keyed(docs)
+    pairs = cut(keyed.groupBy("d", "h").agg(F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows")), "contents")
+    copies = pairs.groupBy("h").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "d")).alias("x")).select("h", F.col("x.doc_id").alias("first"), F.col("x.d").alias("d"))
+    # numbers are given once and written; they follow no order that matters
+    copies = cut(copies.withColumn("id", F.monotonically_increasing_id()), "copies")
+    texts = _Texts(keyed, copies)
+    prints = cut(set_prints(texts.of(copies.select("id")), size, min_similarity, common_shingles(docs, size)), "prints")
+    each = prints.select("id", "n", F.explode("prefix").alias("x"))
+    shared = each.groupBy("x").agg(F.min("id").alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1").withColumnRenamed("x", "y")
+    live = cut(each.join(shared, F.col("x") == F.col("y")).select("x", "id", "n", "m", "c"), "shared")
+    stars = live.where("id <> m").select(F.col("m").alias("a"), F.col("id").alias("b")).distinct()
+    found = _similar(texts, stars, prints, size, min_similarity)
     lead = cut(components(found), "leads")
-    placed = live.where("c > 2").join(lead.withColumnsRenamed({"v": "doc_id", "c": "own"}), "doc_id", "left")
-    placed = cut(placed.select("x", "doc_id", "n", "m", F.coalesce("own", "doc_id").alias("g")), "placed")
+    placed = live.where("c > 2").join(lead.withColumnsRenamed({"v": "id", "c": "own"}), "id", "left")
+    placed = cut(placed.select("x", "id", "n", "m", F.coalesce("own", "id").alias("g")), "placed")
     split = placed.groupBy("x").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("x")
     open_ = cut(placed.join(split, "x", "left_semi"), "open")
-    a, b = (open_.select("x", *(F.col(k).alias(e + k) for k in ("doc_id", "n", "m", "g"))) for e in "ab")
+    a, b = (open_.select("x", *(F.col(k).alias(e + k) for k in ("id", "n", "m", "g"))) for e in "ab")
     sized = (F.col("an") >= min_similarity * F.col("bn") - 1e-6) & (F.col("bn") >= min_similarity * F.col("an") - 1e-6)
-    rest = a.join(b, "x").where((F.col("adoc_id") < F.col("bdoc_id")) & (F.col("ag") != F.col("bg")) & (F.col("adoc_id") != F.col("am")) & sized)
-    more = _similar(named, rest.select(F.col("adoc_id").alias("a"), F.col("bdoc_id").alias("b")).distinct(), prints, size, min_similarity)
-    lead = components(more.unionByName(lead.select(F.col("c").alias("a"), F.col("v").alias("b")))).select(F.col("v").alias("doc_id"), F.col("c").alias("leader"))
-    exact = content.join(copies, "h").where("v <> doc_id").select("doc_id", "v")
-    exact = exact.join(lead.withColumnRenamed("doc_id", "v"), "v", "left").select("doc_id", F.coalesce("leader", "v").alias("leader"))
-    return lead.unionByName(exact)
+    rest = a.join(b, "x").where((F.col("aid") < F.col("bid")) & (F.col("ag") != F.col("bg")) & (F.col("aid") != F.col("am")) & sized)
+    more = _similar(texts, rest.select(F.col("aid").alias("a"), F.col("bid").alias("b")).distinct(), prints, size, min_similarity)
+    lead = components(more.unionByName(lead.select(F.col("c").alias("a"), F.col("v").alias("b"))))
+    lead = cut(lead.withColumnsRenamed({"v": "id", "c": "g"}), "groups")
+    # a component's smallest number is not always its smallest id
+    member = copies.join(lead, "id", "left").select("id", "h", "first", F.coalesce("g", "id").alias("g"))
+    best = member.groupBy("g").agg(F.min(F.struct(F.col("first").isNull(), "first", "h", "id")).alias("x")).select("g", F.col("x.id").alias("leader"))
+    member = cut(member.join(best, "g").select("id", F.col("h").alias("own"), "first", "leader"), "members")
+    return pairs.join(member, F.col("h") == F.col("own")).select("d", "h", "doc_id", "id", "first", "rows", "leader")
+
+
+def keep_one(docs: DataFrame, size: int = 5, min_similarity: float = 0.8) -> DataFrame:
+    """One row of each group of ``similar_groups``: a row of the leading content with its first id. Of rows equal in id and
+    text one stays, whichever their other columns; columns and their names are those of ``docs``."""
+    groups = similar_groups(docs, size, min_similarity)
+    stays = (F.col("id") == F.col("leader")) & F.col("doc_id").eqNullSafe(F.col("first"))
+    d, h = free_name("d", docs.columns), free_name("h", docs.columns)
+    rows = docs.withColumns({d: _id_key(docs), h: _content(docs)})
+    odd = cut(groups.where(~(stays & (F.col("rows") == 1))).select(F.col("d").alias("gd"), F.col("h").alias("gh"), stays.alias("one")), "odd")
+    alone = rows.join(odd, (F.col(d) == F.col("gd")) & (F.col(h) == F.col("gh")), "left_anti")
+    one = rows.join(odd.where("one"), (F.col(d) == F.col("gd")) & (F.col(h) == F.col("gh")), "left_semi").dropDuplicates([d, h])
+    return alone.unionByName(one).select(*(named(c) for c in docs.columns))
+
+
+def _id_key(docs: DataFrame) -> Column:
+    return F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
 
 
-def _similar(docs: DataFrame, edges: DataFrame, prints: DataFrame, size: int, least: float) -> DataFrame:
-    return cut(_verified(docs, cut(_reachable(edges, prints, least), "candidates"), size, least), "similar")
+def _content(docs: DataFrame) -> Column:
+    return F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
 
 
-def common_shingles(docs: DataFrame, rows: int, size: int, sample: int = 20_000, most: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"), _id_key(docs).alias("d"), _content(docs).alias("h"))
+
+
+class _Texts:
+    """The text of contents by number, fetched from one row each: a copy shared by a third of all rows moves once."""
+
+    def __init__(self, keyed: DataFrame, copies: DataFrame):
+        self.keyed, self.copies = keyed.select("d", "h", "text"), copies
+
+    def of(self, ids: DataFrame) -> DataFrame:
+        """(id, text) of different ``ids``."""
+        holder = self.copies.join(ids, "id", "left_semi").select(F.col("d").alias("cd"), F.col("h").alias("ch"), "id")
+        got = self.keyed.join(holder, (F.col("d") == F.col("cd")) & (F.col("h") == F.col("ch")))
+        # equal rows: the exchange of the join serves the grouping too
+        return got.groupBy("d", "h", "id").agg(F.first("text").alias("text")).select("id", "text")
+
+
+def _similar(texts: _Texts, edges: DataFrame, prints: DataFrame, size: int, least: float) -> DataFrame:
+    return cut(_verified(texts, cut(_reachable(edges, prints, least), "candidates"), size, least), "similar")
+
+
+def common_shingles(docs: DataFrame, size: int, sample: int = 20_000, most: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
     """(sorted hashes, counts) of shingles that several texts of a sample of about ``sample`` rows have, ``most`` at most."""
 
     def batch(cols: dict[str, list]) -> dict[str, list]:
-        return {"x": np.concatenate([np.unique(hashes(t, size)) for t in cols["text"]]).view(np.int64)}
+        return {"x": np.concatenate([shingle_set(t, size) for t in cols["text"]]).view(np.int64)}
 
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, rows // sample))) == 0).select("text")
+    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(size)), F.lit(max(1, docs.count() // sample))) == 0).select("text")
     got = map_slices(some, batch, "x long").groupBy("x").agg(F.count(F.lit(1)).alias("c")).where("c > 2").orderBy(F.desc("c"), "x").limit(most).collect()
     x = np.array([r.x for r in got], dtype=np.int64).view(np.uint64)
     order = np.argsort(x)
     return x[order], np.array([r.c for r in got], dtype=np.int64)[order]
 
 
-def prefix(text: str | None, size: int, least: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Hashes of the shingles of a text's prefix; of a text without a word, a zero."""
-    u = np.unique(hashes(text, size))
+def prefix(u: np.ndarray, least: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The prefix of a set of shingles; a zero for the empty set."""
     if not len(u):
         return np.zeros(1, dtype=np.int64)
     known, counts = common
@@ -262,17 +301,18 @@ def prefix(text: str | None, size: int, least: float, common: tuple[np.ndarray,
     return u[np.argsort(weight, kind="stable")[:keep]].view(np.int64)
 
 
-def set_prints(docs: DataFrame, size: int, least: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, prefix array<long>, n long, s0 .. long): prefix, elements and sketch of a text's set of shingles."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
+def set_prints(texts: DataFrame, size: int, least: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(id, prefix array<long>, n long, s0 .. long): prefix, elements and sketch of a text's set of shingles."""
+    shared = texts.sparkSession.sparkContext.broadcast(common)
 
     def batch(cols: dict[str, list]) -> dict[str, list]:
-        u, bits = zip(*(sketch(t, size) for t in cols["text"]), strict=True)
-        first = [prefix(t, size, least, shared.value) for t in cols["text"]]
-        return {"doc_id": cols["doc_id"], "prefix": first, "n": list(map(len, u))} | {f"s{i}": [int(b[i]) for b in bits] for i in range(SKETCH)}
+        sets = [shingle_set(t, size) for t in cols["text"]]
+        bits = [sketch(u).tolist() for u in sets]
+        first = [prefix(u, least, shared.value) for u in sets]
+        return {"id": cols["id"], "prefix": first, "n": list(map(len, sets))} | {f"s{i}": [b[i] for b in bits] for i in range(SKETCH)}
 
     longs = ", ".join(f"s{i} long" for i in range(SKETCH))
-    return map_slices(docs.select("doc_id", "text"), batch, f"doc_id long, prefix array<long>, n long, {longs}")
+    return map_slices(texts, batch, f"id long, prefix array<long>, n long, {longs}")
 
 
 def _reachable(edges: DataFrame, prints: DataFrame, least: float) -> DataFrame:
@@ -281,30 +321,33 @@ def _reachable(edges: DataFrame, prints: DataFrame, least: float) -> DataFrame:
     Sets of p and q elements whose sketches differ in d bits share (p + q - d) / 2 elements at most, and min(p, q).
     """
     names = ["n", *(f"s{i}" for i in range(SKETCH))]
-    one = prints.select("doc_id", *names).dropDuplicates(["doc_id"])
-    a, b = (one.select(F.col("doc_id").alias(x), *(F.col(c).alias(x + c) for c in names)) for x in "ab")
+    a, b = (prints.select(F.col("id").alias(x), *(F.col(c).alias(x + c) for c in names)) for x in "ab")
     total = F.col("an") + F.col("bn")
     apart = sum((F.bit_count(F.col(f"as{i}").bitwiseXOR(F.col(f"bs{i}"))) for i in range(SKETCH)), F.lit(0))
     most = F.least((total - apart) / 2.0, F.col("an").cast("double"), F.col("bn").cast("double"))
     return edges.join(a, "a").join(b, "b").where(most * (1 + least) + 1e-6 >= total * least).select("a", "b")
 
 
-def _verified(docs: DataFrame, edges: DataFrame, size: int, least: float) -> DataFrame:
-    """The edges (a, b) whose texts are similar enough, by exact sets of shingle hashes."""
-    ends = edges.select(F.explode(F.array("a", "b")).alias("v")).distinct()
-    texts = docs.select(F.col("doc_id").alias("v"), "text").join(ends, "v", "left_semi")
+def _verified(texts: _Texts, edges: DataFrame, size: int, least: float) -> DataFrame:
+    """The edges (a, b) whose texts are similar enough, by their sets of shingle hashes.
+
+    Both ends' sets travel with a link. Their sizes are within ``least`` of each other by then, so what moves is bounded by
+    the links' own texts; AQE splits the join where one end has many links.
+    """
 
     def batch(cols: dict[str, list]) -> dict[str, list]:
-        return {"v": cols["v"], "hs": [sketch(t, size)[0].tobytes() for t in cols["text"]]}
+        return {"v": cols["id"], "hs": [shingle_set(t, size).tobytes() for t in cols["text"]]}
 
-    sets = cut(map_slices(texts, batch, "v long, hs binary").dropDuplicates(["v"]), "shingles")
+    ends = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = cut(map_slices(texts.of(ends), batch, "v long, hs binary"), "shingles")
 
     def compare(cols: dict[str, list]) -> dict[str, list]:
         rows = []
         for v, w, x, y in zip(*(cols[k] for k in ("a", "b", "ha", "hb")), strict=True):
-            p, q = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            if both >= least * (len(p) + len(q) - both):
+            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = np.sort(np.concatenate([p, q]))
+            n = int((both[1:] == both[:-1]).sum())
+            if n >= least * (len(p) + len(q) - n):
                 rows.append((v, w))
         return {"a": [r[0] for r in rows], "b": [r[1] for r in rows]} if rows else {}
 
