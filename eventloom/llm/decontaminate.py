@@ -6,13 +6,16 @@ characters matches a region of a text within k = RATE * m edits. Such a region s
 segment's q-grams with it, on diagonals at most k apart, so hits are counted in bands of 2 (k + 1) diagonals that overlap
 by half: one of them holds all. Bands that reach the bound are verified by an alignment within their diagonals.
 
-Segments too short for a bound of one q-gram or more (under MIN_CHARS characters) are matched as whole texts only: an item
-that short is found in texts equal to it.
+Short items: under MIN_CHARS characters that bound, or the item's weight as evidence, runs out. Items of Q characters or
+more are then found without an edit and between characters that are no letters or digits; items of fewer characters
+only where they are a whole text (a bare "yes" or "42" would else flag most of a corpus).
 
-The benchmark is a stated query set: it is read in blocks of at most ``block_bytes``, each broadcast in a pass of its own
-over all texts. Its q-gram table in a worker is bounded by the block.
+Bounded memory: a text is taken in slices that overlap by more than a segment, and counted hits are held to HITS at a time
+by halving first the slice, then the set of segments. Segments of equal text are one. The benchmark is a stated query
+set: it is read in blocks of at most ``block_bytes``, each broadcast in a pass of its own over all texts.
 
-Defined cases: null and empty texts and items match nothing; repeated rows are found each; other columns pass through
+Defined cases: null and empty texts and items match nothing; equal items and repeated rows are found each; an empty table
+of texts or items gives no row (``keep_clean``: every row); other columns, whatever their names, pass through
 (``keep_clean``) or are ignored (``find_leaks``).
 """
 
@@ -24,14 +27,20 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import codes, map_slices, mix64, table
+from .common import BASE, codes, keep_where, map_slices, mix64, table
 
 Q = 8
 SEGMENT = 80
 RATE = 0.08
 MIN_CHARS = 24
-_BASE = np.uint64(0x9E3779B97F4A7C15)
 BLOCK_BYTES = 4 << 20
+#: Characters of a text that are looked at together, and the fewest.
+SLICE_CHARS = 1 << 16
+LEAST_CHARS = 1 << 10
+#: What neighbouring slices share: a region that matches a segment, with the bands around it.
+OVERLAP = 3 * SEGMENT
+#: (text position, segment position) pairs of equal q-grams held at a time.
+HITS = 1 << 20
 
 
 def normal(text: str | None) -> str:
@@ -42,7 +51,7 @@ def grams(c: np.ndarray) -> np.ndarray:
     n = max(0, len(c) - Q + 1)
     h = np.zeros(n, dtype=np.uint64)
     for i in range(Q):
-        h = h * _BASE + c[i : i + n]
+        h = h * BASE + c[i : i + n]
     return mix64(h)
 
 
@@ -72,76 +81,131 @@ def banded(seg: str, region: str, k: int) -> int | None:
     return best if best <= k else None
 
 
-class Segments:
-    """The q-gram table of a block of items."""
+def _apart(text: str, at: int, end: int) -> bool:
+    """No letter or digit goes on over either end."""
+    return not (at and text[at - 1].isalnum() and text[at].isalnum()) and not (end < len(text) and text[end].isalnum() and text[end - 1].isalnum())
 
-    def __init__(self, items: list[tuple[int, str | None]]):
-        self.text, self.item, self.whole = [], [], {}
-        for item, text in items:
-            t = normal(text)
-            if not t:
-                continue
-            if len(t) < MIN_CHARS:
-                self.whole.setdefault(t, []).append(item)
-                continue
-            ends = list(range(SEGMENT, len(t), SEGMENT // 2)) + [len(t)]
-            for e in ends:
-                self.text.append(t[max(0, e - SEGMENT) : e])
-                self.item.append(item)
-        g = [grams(codes(s)) for s in self.text]
+
+class Segments:
+    """The q-gram table of distinct segments: ``items`` has the items of each."""
+
+    def __init__(self, text: list[str], items: list[list[int | None]], whole: dict[str, list[int | None]]):
+        self.text, self.items, self.whole = text, items, whole
+        size = np.array(list(map(len, text)), dtype=np.int64)
+        self.k = np.where(size < MIN_CHARS, 0, (RATE * size).astype(np.int64))
+        self.need = np.maximum(1, size + 1 - Q - self.k * Q)
+        g = [grams(codes(s)) for s in text]
         h = np.concatenate(g) if g else np.zeros(0, np.uint64)
-        seg = np.repeat(np.arange(len(g)), [len(x) for x in g]) if g else np.zeros(0, np.int64)
-        pos = np.concatenate([np.arange(len(x)) for x in g]) if g else np.zeros(0, np.int64)
+        seg = np.repeat(np.arange(len(g), dtype=np.int32), [len(x) for x in g]) if g else np.zeros(0, np.int32)
+        pos = np.concatenate([np.arange(len(x), dtype=np.int32) for x in g]) if g else np.zeros(0, np.int32)
         order = np.argsort(h, kind="stable")
-        self.h, self.seg, self.pos = h[order], seg[order], pos[order]
-        self.k = np.array([int(RATE * len(s)) for s in self.text], dtype=np.int64)
-        self.need = np.array([max(1, len(s) + 1 - Q - int(RATE * len(s)) * Q) for s in self.text], dtype=np.int64)
-        self.keys, self.first, self.count = np.unique(self.h, return_index=True, return_counts=True)
+        self.seg, self.pos = seg[order], pos[order]
+        self.keys, self.first, self.count = np.unique(h[order], return_index=True, return_counts=True)
         self.seen = np.zeros(1 << 20, dtype=bool)
-        self.seen[(self.h >> np.uint64(44)).astype(np.int64)] = True
+        self.seen[(self.keys >> np.uint64(44)).astype(np.int64)] = True
         self.verified: dict[tuple[int, str], int | None] = {}
+        self._halves: list[tuple[Segments, int]] | None = None
+
+    @classmethod
+    def of(cls, items: list[tuple[int | None, str | None]]) -> Segments:
+        where: dict[str, list] = {}
+        whole: dict[str, list] = {}
+        for item, raw in items:
+            t = normal(raw)
+            if len(t) < Q:
+                if t:
+                    whole.setdefault(t, []).append(item)
+                continue
+            for e in [*range(SEGMENT, len(t), SEGMENT // 2), len(t)]:
+                where.setdefault(t[max(0, e - SEGMENT) : e], []).append(item)
+        return cls(list(where), list(where.values()), whole)
+
+    def halves(self) -> list[tuple[Segments, int]]:
+        if self._halves is None:
+            n = len(self.text) // 2
+            self._halves = [(Segments(self.text[:n], self.items[:n], {}), 0), (Segments(self.text[n:], self.items[n:], {}), n)]
+        return self._halves
 
-    def match(self, text: str | None) -> dict[int, tuple[int, int]]:
+    def match(self, text: str | None) -> dict[int | None, tuple[int, int]]:
         """item -> (matched segments, fewest edits)."""
         t = normal(text)
         if t in self.whole:
             return {i: (1, 0) for i in self.whole[t]}
-        if len(self.keys) == 0 or len(t) < Q:
-            return {}
-        h = grams(codes(t))
-        at = np.flatnonzero(self.seen[(h >> np.uint64(44)).astype(np.int64)])
-        if not len(at):
-            return {}
-        slot = np.searchsorted(self.keys, h[at])
-        slot[slot == len(self.keys)] = 0
+        edits: dict[int, int] = {}
+        if len(self.keys):
+            for lo in range(0, max(1, len(t) - OVERLAP), SLICE_CHARS):
+                self._slice(t, lo, min(len(t), lo + SLICE_CHARS + OVERLAP), edits, 0)
+        found: dict[int | None, list[int]] = {}
+        for s, e in edits.items():
+            for i in set(self.items[s]):
+                found.setdefault(i, []).append(e)
+        return {i: (len(x), min(x)) for i, x in found.items()}
+
+    def _slice(self, t: str, lo: int, hi: int, edits: dict[int, int], shift: int) -> None:
+        """The fewest edits of each segment (its number and ``shift``) that lies within t[lo:hi]."""
+        if hi - lo < Q or not len(self.keys):
+            return
+        h = grams(codes(t[lo:hi]))
+        good = self.seen[(h >> np.uint64(44)).astype(np.int64)]
+        some = h[:: 2 * OVERLAP]
+        if (some[1:] == some[:-1]).any():  # else no run is as long as that
+            edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            run = np.diff(edge, append=len(h))
+            for a, n in zip(edge[run > 4 * OVERLAP].tolist(), run[run > 4 * OVERLAP].tolist(), strict=True):
+                good[a + 2 * OVERLAP : a + n - 2 * OVERLAP] = False  # inside a run of one character nothing new can match
+        at = np.flatnonzero(good)
+        slot = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
         hit = self.keys[slot] == h[at]
         at, slot = at[hit], slot[hit]
-        if not len(at):
-            return {}
         n = self.count[slot]
+        if not len(at) or len(at) < self.need.min():
+            return
+        if n.sum() > HITS and hi - lo > LEAST_CHARS:
+            mid = (lo + hi) // 2
+            self._slice(t, lo, mid + OVERLAP // 2, edits, shift)
+            self._slice(t, mid - OVERLAP // 2, hi, edits, shift)
+            return
+        if n.sum() > HITS and len(self.text) > 1:
+            for half, more in self.halves():
+                half._slice(t, lo, hi, edits, shift + more)
+            return
         # every (text position, segment, segment position) of an equal q-gram
-        from_ = np.repeat(self.first[slot], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        where, seg = np.repeat(at, n), self.seg[from_]
-        diag = where - self.pos[from_] + SEGMENT + Q  # never negative
-        width = self.k[seg] + 1
-        band = diag // width
+        from_ = np.repeat(self.first[slot] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        seg = self.seg[from_].astype(np.int64)
+        diag = np.repeat(at, n) - self.pos[from_] + SEGMENT + Q  # never negative
+        band = diag // (self.k[seg] + 1)
         stride = int(band.max()) + 2
         key = np.concatenate([seg * stride + band, seg * stride + np.maximum(band - 1, 0)])
-        b, c = np.unique(key, return_counts=True)
-        found: dict[int, list[tuple[int, int]]] = {}
-        s_of = b // stride
-        for s, d in zip(s_of[c >= self.need[s_of]].tolist(), (b % stride)[c >= self.need[s_of]].tolist(), strict=True):
+        key.sort()
+        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        b, c = key[begin], np.diff(begin, append=len(key))
+        enough = c >= self.need[b // stride]
+        for s, d in zip((b[enough] // stride).tolist(), (b[enough] % stride).tolist(), strict=True):
+            if edits.get(s + shift) == 0:
+                continue
             w = int(self.k[s]) + 1
-            lo = d * w - SEGMENT - Q
-            region = t[max(0, lo - w) : max(0, lo + 2 * w + len(self.text[s]) + w)]
-            mark = (s, region)
-            if mark not in self.verified:
-                if len(self.verified) > 50_000:
-                    self.verified.clear()
-                self.verified[mark] = banded(self.text[s], region, int(self.k[s]))
-            if (e := self.verified[mark]) is not None:
-                found.setdefault(self.item[s], []).append((s, e))
-        return {i: (len({s for s, _ in x}), min(e for _, e in x)) for i, x in found.items()}
+            from_text = lo + d * w - SEGMENT - Q
+            region = t[max(0, from_text - w) : max(0, from_text + 2 * w + len(self.text[s]) + w)]
+            if len(self.text[s]) < MIN_CHARS:
+                e = self._short(self.text[s], t, max(0, from_text - w), max(0, from_text + 2 * w + len(self.text[s]) + w))
+            else:
+                mark = (s, region)
+                if mark not in self.verified:
+                    if len(self.verified) > 50_000:
+                        self.verified.clear()
+                    self.verified[mark] = banded(self.text[s], region, int(self.k[s]))
+                e = self.verified[mark]
+            if e is not None:
+                edits[s + shift] = min(e, edits.get(s + shift, e))
+
+    @staticmethod
+    def _short(seg: str, t: str, lo: int, hi: int) -> int | None:
+        at = t.find(seg, lo, hi)
+        while at >= 0:
+            if _apart(t, at, at + len(seg)):
+                return 0
+            at = t.find(seg, at + 1, hi)
+        return None
 
 
 def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str | None]]]:
@@ -165,22 +229,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_B
             rows = [(d, i, *m) for d, t in zip(cols["doc_id"], cols["text"], strict=True) for i, m in sorted(segments.match(t).items(), key=str)]
             return dict(zip(("doc_id", "item_id", "n_segments", "edits"), map(list, zip(*rows, strict=True)), strict=True)) if rows else {}
 
-        got = map_slices(docs.select("doc_id", "text"), batch, "doc_id long, item_id long, n_segments long, edits long", lambda block=block: Segments(block))
+        got = map_slices(docs.select("doc_id", "text"), batch, "doc_id long, item_id long, n_segments long, edits long", lambda block=block: Segments.of(block))
         out = got if out is None else out.unionByName(got)
     return out
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without the rows that ``find_leaks`` would report."""
-    schema = docs.schema
-    names = schema.simpleString()[7:-1]
     for block in blocks(benchmark, block_bytes):
+        memory: list[Segments] = []
 
-        def batch(cols: dict[str, list], segments: Segments) -> dict[str, list]:
-            ok = [not segments.match(t) for t in cols["text"]]
-            return {k: [x for x, y in zip(v, ok, strict=True) if y] for k, v in cols.items()} if any(ok) else {}
+        def good(texts: list, block=block, memory=memory) -> list[bool]:
+            if not memory:  # once in a task
+                memory.append(Segments.of(block))
+            return [not memory[0].match(t) for t in texts]
 
-        docs = map_slices(docs, batch, names, lambda block=block: Segments(block))
+        docs = keep_where(docs, "text", good)
     return docs
 
 
