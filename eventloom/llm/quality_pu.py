@@ -1,18 +1,21 @@
 """Quality classifier by positive-unlabelled learning.
 
 Trusted positives are labelled documents of quality 1; unlabelled documents are a sample of the whole table. A small
-network over features of the whole text is trained to minimise the non-negative unbiased risk
+network over the whole text's hashed n-grams (words, pairs of words, and runs of four bytes, each kind as the square root
+of its shares) and some counts of its surface is trained to minimise the non-negative unbiased risk
 
     pi * R_p(+) + max(0, R_u(-) - pi * R_p(-))
 
 with logistic loss; where the second part falls below zero its gradient is reversed. The class prior pi is estimated from
-a first pass: the score of positives against unlabelled texts, and the smallest ratio of upper tails (the share of
+a first pass: a network learns positives against unlabelled texts from one half of both; on the other half, the smallest ratio of upper tails (the share of
 unlabelled texts above a score over the share of positives above it), taken where tails are large enough.
 
-Trained on bounded samples (``rows`` positives and ``rows`` unlabelled texts of at most ``max_chars`` characters, in hash
-order); whole texts of all documents are scored. Labels of fold 0 are never read, nor are labels of quality 0.
-Defined cases: null and empty texts have the features of an empty text and are scored as such; without a positive every
-score is 1 (nothing is rejected on no evidence).
+Trained on bounded samples (``rows`` positives and ``rows`` unlabelled texts in hash order, of those over ``max_chars``
+characters an excerpt from all parts); whole texts of all documents are scored. Labels of fold 0 are never read, nor are
+labels of quality 0.
+Defined cases: null and empty texts have the features of an empty text and are scored as such; an empty table gives an
+empty one; without a positive every score is 1 (nothing is rejected on no evidence); repeated rows and ids score alike;
+other columns, whatever their names, pass through (``keep_good``) or are ignored (``score``).
 """
 
 from __future__ import annotations
@@ -24,14 +27,47 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, labelled_sample, map_slices, table, words_of
+from .common import BASE, fold, keep_where, labelled_sample, lower_ascii, map_slices, mix64, table, word_hashes, words_of
 
 _SYMBOL = re.compile(r"[^\w\s.,;:!?'\"()\-]|_")
 _RUN = re.compile(r"([^\w\s])\1")
-FEATURES = 15
-
-
-def features(text: str | None) -> list[float]:
+SURFACE = 15
+#: Buckets of each kind of n-gram.
+BUCKETS = 1 << 10
+KINDS = 3
+FEATURES = SURFACE + KINDS * BUCKETS
+#: Weight of n-grams beside standardised counts.
+GRAM_SCALE = 1.0
+_ROLL = 1 << 20
+
+
+def grams(text: str | None) -> np.ndarray:
+    """Square roots of the shares of hashed words, pairs of words and runs of four bytes, lower-cased; zeros without any."""
+    out = np.zeros((KINDS, BUCKETS), dtype=np.float32)
+    raw = lower_ascii(text.encode("utf-8", "surrogatepass")) if text else b""
+    w = word_hashes(raw)
+    mask = np.uint64(BUCKETS - 1)
+    if len(w):
+        out[0] = np.bincount((w & mask).astype(np.int64), minlength=BUCKETS) / len(w)
+    if len(w) > 1:
+        out[1] = np.bincount((mix64(w[:-1] * BASE + w[1:]) & mask).astype(np.int64), minlength=BUCKETS) / (len(w) - 1)
+    if (n := len(raw) - 3) > 0:
+        count = np.zeros(BUCKETS, dtype=np.int64)
+        c = np.frombuffer(raw, dtype=np.uint8)
+        for lo in range(0, n, _ROLL):  # bounded memory for very long texts
+            hi = min(n, lo + _ROLL)
+            four = sum(c[lo + i : hi + i].astype(np.uint32) << np.uint32(8 * i) for i in range(4))
+            count += np.bincount((four * np.uint32(2654435769)) >> np.uint32(22), minlength=BUCKETS)
+        out[2] = count / n
+    return np.sqrt(out).ravel()
+
+
+def features(text: str | None) -> np.ndarray:
+    """Counts of the surface, then n-grams."""
+    return np.concatenate([np.array(surface(text), dtype=np.float32), grams(text)])
+
+
+def surface(text: str | None) -> list[float]:
     """Of the whole text; shares unless said otherwise."""
     t = text or ""
     w = words_of(t)
@@ -55,11 +91,17 @@ class Network:
 
     def __init__(self, mean: np.ndarray, std: np.ndarray, hidden: int = 16, seed: int = 5):
         rng = np.random.default_rng(seed)
-        self.mean, self.std = mean, std
-        self.p = [rng.normal(size=(FEATURES, hidden)) / np.sqrt(FEATURES), np.zeros(hidden), rng.normal(size=hidden) / np.sqrt(hidden), np.zeros(1)]
+        self.mean, self.std = mean.astype(np.float32), std.astype(np.float32)
+        first = rng.normal(size=(FEATURES, hidden)) / np.sqrt(SURFACE)
+        first[SURFACE:] *= 0.3
+        self.p = [x.astype(np.float32) for x in (first, np.zeros(hidden), rng.normal(size=hidden) / np.sqrt(hidden), np.zeros(1))]
 
     def scaled(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.std, -6, 6)
+        """Surface counts standardised, n-grams centred."""
+        z = x - self.mean
+        z[:, :SURFACE] = np.clip(z[:, :SURFACE] / self.std[:SURFACE], -6, 6)
+        z[:, SURFACE:] *= GRAM_SCALE
+        return z
 
     def forward(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = np.tanh(z @ self.p[0] + self.p[1])
@@ -70,12 +112,11 @@ class Network:
         return [z.T @ dh, dh.sum(0), h.T @ d, np.array([d.sum()])]
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.forward(self.scaled(x))[1], -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.forward(self.scaled(x))[1].astype(np.float64), -30, 30)))
 
-    def train(self, pos: np.ndarray, unl: np.ndarray, pi: float | None, epochs: int = 40, batch: int = 512, rate: float = 0.01) -> Network:
-        """With ``pi`` None: positives against unlabelled texts, for the prior."""
+    def train(self, pos: np.ndarray, unl: np.ndarray, pi: float | None, epochs: int = 20, batch: int = 512, rate: float = 0.005) -> Network:
+        """On scaled features. With ``pi`` None: positives against unlabelled texts, for the prior."""
         rng = np.random.default_rng(3)
-        pos, unl = self.scaled(pos), self.scaled(unl)
         m, v, step = [np.zeros_like(x) for x in self.p], [np.zeros_like(x) for x in self.p], 0
         sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
         for _ in range(epochs):
@@ -94,10 +135,10 @@ class Network:
                         grads = [-(x + y) for x, y in zip(a, b, strict=True)]
                 step += 1
                 for i, g in enumerate(grads):
-                    g = g + 1e-4 * self.p[i]
+                    g = (g + 1e-4 * self.p[i]).astype(np.float32)
                     m[i] = 0.9 * m[i] + 0.1 * g
                     v[i] = 0.999 * v[i] + 0.001 * g * g
-                    self.p[i] = self.p[i] - rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
+                    self.p[i] = self.p[i] - np.float32(rate) * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + np.float32(1e-8))
         return self
 
 
@@ -107,17 +148,21 @@ def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
     for t in np.quantile(pos, np.linspace(0.02, 0.9, 45)):
         p, u = (pos >= t).mean(), (unl >= t).mean()
         if p * len(pos) >= 50 and u * len(unl) >= 50:
-            best = min(best, (u + 1 / np.sqrt(len(unl))) / p)
+            best = min(best, u / p)
     return float(np.clip(best, 0.05, 0.95))
 
 
 def learn(positives: list[str], unlabelled: list[str]) -> Network | None:
     if not positives or not unlabelled:
         return None
-    pos, unl = np.array([features(t) for t in positives]), np.array([features(t) for t in unlabelled])
+    pos, unl = (np.stack([features(t) for t in texts]) for texts in (positives, unlabelled))
     mean, std = unl.mean(0), unl.std(0) + 1e-3
-    first = Network(mean, std).train(pos, unl, None, epochs=15)
-    pi = estimate_prior(first.score(pos), first.score(unl))
+    first = Network(mean, std)
+    pos, unl = first.scaled(pos), first.scaled(unl)
+    first.train(pos[::2], unl[::2], None, epochs=15)
+    # log-odds of the half not learned from; of a single text there is no other half
+    odds = [first.forward(x[1::2] if len(x) > 1 else x)[1] for x in (pos, unl)]
+    pi = estimate_prior(*odds)
     net = Network(mean, std).train(pos, unl, pi)
     net.prior = pi
     return net
@@ -136,7 +181,7 @@ def scorer(net: Network | None):
     """A function from texts to scores."""
     if net is None:
         return lambda texts: [1.0] * len(texts)
-    return lambda texts: net.score(np.array([features(t) for t in texts])).tolist()
+    return lambda texts: net.score(np.stack([features(t) for t in texts])).tolist() if texts else []
 
 
 def score(docs: DataFrame, net: Network | None, threshold: float = 0.3) -> DataFrame:
@@ -153,12 +198,7 @@ def score(docs: DataFrame, net: Network | None, threshold: float = 0.3) -> DataF
 def keep_good(docs: DataFrame, net: Network | None, threshold: float = 0.3) -> DataFrame:
     """``docs`` without the rows that ``score`` would reject."""
     of = scorer(net)
-
-    def batch(cols: dict[str, list]) -> dict[str, list]:
-        ok = [x >= threshold for x in of(cols["text"])]
-        return {k: [x for x, y in zip(v, ok, strict=True) if y] for k, v in cols.items()} if any(ok) else {}
-
-    return map_slices(docs, batch, docs.schema.simpleString()[7:-1])
+    return keep_where(docs, "text", lambda texts: [x >= threshold for x in of(texts)])
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
