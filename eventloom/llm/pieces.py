@@ -43,7 +43,7 @@ HEAD_CHARS = 24
 NEVER = (1 << 31) - 1
 _SPREAD = 0x9E3779B97F4A7C15
 #: Bytes of text that are cut into units at once; a longer text is one slice.
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 3 << 20
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 
 
