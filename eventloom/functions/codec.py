@@ -6,6 +6,8 @@ Layout: version, type, flags (1 contract, 2 successful), topic count, contract (
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,9 +60,12 @@ def walk_topics(item: Column) -> Column:
     return F.aggregate(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), start, step)
 
 
-def decode_error(item: Column) -> Column:
-    """What is wrong with an encoded event, or null."""
-    walked = walk_topics(item)
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once however often it is named."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _error(item: Column, walked: Column) -> Column:
     return (
         F.when(item.isNull() | (F.octet_length(item) < HEADER_SIZE), F.lit("too short"))
         .when(_num(item, 1, 1) != FORMAT_VERSION, F.lit("unsupported version"))
@@ -69,21 +74,31 @@ def decode_error(item: Column) -> Column:
     )
 
 
+def decode_error(item: Column) -> Column:
+    """What is wrong with an encoded event, or null."""
+    return _let(walk_topics(item), lambda walked: _error(item, walked))
+
+
 def decode_event(item: str | Column, mode: str = "FAILFAST") -> Column:
     """A struct of the stored columns. FAILFAST raises on a malformed item; PERMISSIVE gives nulls and fills ``error``."""
     item = F.col(item) if isinstance(item, str) else item
-    walked, error = walk_topics(item), decode_error(item)
-    flags = _num(item, 3, 1).cast("int")
-    event = F.struct(
-        F.when(flags.bitwiseAND(1) == 1, F.substring(item, 5, 32)).alias("contract_id"), walked["topics"].alias("topics"),
-        F.substring(item, 37, 32).alias("tx_hash"), _num(item, 2, 1).cast("int").alias("event_type"),
-        F.substring(item, walked["off"], _num(item, 77, 4).cast("int")).alias("data_bytes"),
-        F.timestamp_seconds(_signed(item)).alias("ledger_closed_at"), (flags.bitwiseAND(2) == 2).alias("successful"), F.lit(None).cast("string").alias("error"))
     kind = "struct<contract_id:binary,topics:array<binary>,tx_hash:binary,event_type:int,data_bytes:binary,ledger_closed_at:timestamp,successful:boolean,error:string>"
-    if mode == "FAILFAST":
-        return F.when(error.isNotNull(), F.raise_error(F.concat(F.lit("event: "), error)).cast(kind)).otherwise(event.cast(kind))
-    nothing = F.from_json(F.lit("{}"), kind)
-    return F.when(error.isNull(), event.cast(kind)).otherwise(nothing.withField("error", error))
+
+    def event(walked: Column) -> Column:
+        flags = _num(item, 3, 1).cast("int")
+        return F.struct(
+            F.when(flags.bitwiseAND(1) == 1, F.substring(item, 5, 32)).alias("contract_id"), walked["topics"].alias("topics"),
+            F.substring(item, 37, 32).alias("tx_hash"), _num(item, 2, 1).cast("int").alias("event_type"),
+            F.substring(item, walked["off"], _num(item, 77, 4).cast("int")).alias("data_bytes"),
+            F.timestamp_seconds(_signed(item)).alias("ledger_closed_at"), (flags.bitwiseAND(2) == 2).alias("successful"), F.lit(None).cast("string").alias("error")).cast(kind)
+
+    def whole(w: Column) -> Column:
+        if mode == "FAILFAST":
+            return F.when(w["error"].isNotNull(), F.raise_error(F.concat(F.lit("event: "), w["error"])).cast(kind)).otherwise(event(w["walked"]))
+        nothing = F.from_json(F.lit("{}"), kind)
+        return F.when(w["error"].isNull(), event(w["walked"])).otherwise(nothing.withField("error", w["error"]))
+
+    return _let(walk_topics(item), lambda walked: _let(F.struct(walked.alias("walked"), _error(item, walked).alias("error")), whole))
 
 
 def _signed(item: Column) -> Column:

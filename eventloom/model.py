@@ -1,11 +1,9 @@
-"""Schemas, index fields and errors."""
+"""Index fields, errors, and the schema of nested ledgers."""
 
 from __future__ import annotations
 
 from enum import IntEnum
 
-from pyspark.sql import types as T
-
 TX_LEVEL = 65535
 FORMAT_VERSION = 2
 HEADER_SIZE = 80
@@ -52,26 +50,6 @@ class EmptyIndex(ValueError):
     pass
 
 
-_EVENT = [
-    T.StructField("contract_id", T.BinaryType()),
-    T.StructField("topics", T.ArrayType(T.BinaryType(), False), False),
-    T.StructField("tx_hash", T.BinaryType(), False),
-    T.StructField("event_type", T.ByteType(), False),
-    T.StructField("data_bytes", T.BinaryType(), False),
-    T.StructField("ledger_closed_at", T.TimestampType(), False),
-    T.StructField("successful", T.BooleanType(), False),
-]
-STORED_EVENT = T.StructType([T.StructField("position", T.LongType(), False), *_EVENT])
-RAW_EVENT = T.StructType([
-    *_EVENT,
-    T.StructField("ledger_sequence", T.LongType(), False),
-    T.StructField("transaction_index", T.LongType(), False),
-    T.StructField("operation_index", T.IntegerType(), False),
-    T.StructField("event_index", T.IntegerType(), False),
-])
-POSTING = T.StructType([T.StructField("field", T.ByteType(), False), T.StructField("key", T.BinaryType(), False), T.StructField("position", T.LongType(), False)])
-ENCODED = T.StructType([T.StructField("position", T.LongType(), False), T.StructField("item", T.BinaryType(), False)])
-
 #: Nested input of ``flatten_events``: one row per ledger.
 _RAW = "struct<contract_id:binary,type:tinyint,body_version:int,topics:array<binary>,data:binary>"
 LEDGER_DDL = (

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.model import INDEXED_TOPICS, EmptyIndex, Field, KeyNotFound
+from eventloom.functions import roaring
+from eventloom.functions.hashing import content_hash_value
+from eventloom.model import INDEXED_TOPICS, EmptyIndex, Field, HashMismatch, KeyNotFound
+from eventloom.operators import sealed
+from eventloom.operators.ordering import assign_positions
 
 #: Positions in one row of the index; a frequent key has as many rows as it needs.
 CHUNK = 1 << 16
@@ -37,23 +42,72 @@ def entries(posted: DataFrame) -> DataFrame:
 
 
 class BitmapIndex:
-    """An index on disk, partitioned by field and sorted by key."""
+    """An index on disk, partitioned by field and sorted by key; versions as those of a store."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        self._at: str | None = None
 
     @classmethod
     def write(cls, posted: DataFrame, path: str, mode: str = "errorifexists") -> BitmapIndex:
-        """An index without a key is an error."""
+        """An index without a key is an error. Its content hash is stored with it."""
+        spark = posted.sparkSession
         if posted.isEmpty():
             raise EmptyIndex("no key to index")
-        n = int(posted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        at = sealed.fresh(spark, path, mode)
+        if at is None:
+            return cls(spark, path)
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         (build(posted).repartitionByRange(n, "field", "key", "chunk").sortWithinPartitions("field", "key", "chunk")
-         .write.mode(mode).partitionBy("field").option("compression", "zstd").parquet(path))
-        return cls(posted.sparkSession, path)
+         .write.partitionBy("field").option("compression", "zstd").parquet(f"{at}/entries"))
+        own = cls(spark, path)
+        own._at = at
+        sealed.commit(spark, at, {"version": 1, "rows": own.table().count(), "content_hash": own.content_hash()})
+        return own
+
+    @property
+    def at(self) -> str:
+        if self._at is None:
+            self._at = sealed.current(self.spark, self.path)
+            if self._at is None:
+                raise FileNotFoundError(f"no index at {self.path}")
+        return self._at
 
     def table(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        return self.spark.read.parquet(f"{self.at}/entries")
+
+    def stored_hash(self) -> str:
+        return sealed.meta(self.spark, self.at)["content_hash"]
+
+    def verify(self) -> bool:
+        """Whether the entries are those that were written; HashMismatch if not."""
+        if (got := self.content_hash()) != (stored := self.stored_hash()):
+            raise HashMismatch(f"{got} is not {stored}")
+        return True
+
+    def serialised(self) -> DataFrame:
+        """(field, key, chunk, payload): each row's positions as a portable roaring bitmap, relative to its chunk's first."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                chunk = batch.column(2).to_numpy()
+                payload = [roaring.serialize(p.values.to_numpy() - c * CHUNK) for p, c in zip(batch.column(3), chunk, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(payload, pa.binary())], names=["field", "key", "chunk", "payload"])
+
+        kind = self.table().schema["key"].dataType.simpleString()
+        return self.table().select(F.col("field").cast("int"), "key", "chunk", "positions").mapInArrow(run, f"field int, key {kind}, chunk long, payload binary")
+
+    @staticmethod
+    def deserialised(payloads: DataFrame) -> DataFrame:
+        """(field, key, chunk, positions) from ``serialised``."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                back = [roaring.deserialize(p.as_py()).astype("int64") + c * CHUNK for p, c in zip(batch.column(3), batch.column(2).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(back, pa.list_(pa.int64()))], names=["field", "key", "chunk", "positions"])
+
+        kind = payloads.schema["key"].dataType.simpleString()
+        return payloads.select("field", "key", "chunk", "payload").mapInArrow(run, f"field int, key {kind}, chunk long, positions array<long>")
 
     def rows(self, field: int, key) -> DataFrame:
         return self.table().where((F.col("field") == int(field)) & (F.col("key") == F.lit(key)))
@@ -73,10 +127,7 @@ class BitmapIndex:
         return self.table().groupBy("field").agg(F.count_distinct("key").alias("distinct_keys"), F.sum("cardinality").alias("postings"))
 
     def content_hash(self, n: int = 128) -> str:
-        """Hash over entries in the order of (field, key, chunk)."""
-        from eventloom.functions.hashing import content_hash_value
-        from eventloom.operators.ordering import assign_positions
-
+        """Hash over the entries as they are now, in the order of (field, key, chunk)."""
         item = F.concat(F.unhex(F.lpad(F.hex("field"), 2, "0")), F.encode(F.hex("key"), "utf-8"), F.encode(F.array_join("positions", ","), "utf-8"))
         t = assign_positions(self.table().select("field", "key", "chunk", item.alias("item")), [F.col("field"), F.col("key"), F.col("chunk")])
         return content_hash_value(t.select("position", "item"), n)

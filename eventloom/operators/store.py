@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions.hashing import content_hash_value
 from eventloom.model import HashMismatch, PositionOutOfRange
+from eventloom.operators import sealed
 
 #: Up to this many positions a scan filter is used, beyond it a join.
 IN_LIST = 1000
@@ -21,37 +21,50 @@ class EventStore:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        self._at: str | None = None
         self._meta: dict | None = None
 
     # writing
 
     @classmethod
     def write(cls, df: DataFrame, path: str, mode: str = "errorifexists", items_per_record: int = 128, with_hash: bool = False, app_data: bytes = b"", item: str = "item", partitions: int | None = None) -> EventStore:
-        """Seal ``df`` (with ``position``). Nothing counts as committed before the metadata, which is written last."""
+        """Seal ``df`` (with ``position``) as a new version. Nothing counts as written before its metadata, which comes last:
+        an overwrite that breaks off leaves the store as it was. Modes: errorifexists, overwrite, ignore."""
         if items_per_record < 0:
             raise ValueError("items_per_record is negative")
         spark = df.sparkSession
+        at = sealed.fresh(spark, path, mode)
+        if at is None:
+            return cls(spark, path)
         n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        (df.repartitionByRange(n, "position").sortWithinPartitions("position").write.mode(mode)
-         .option("compression", "zstd").parquet(f"{path}/data"))
-        back = spark.read.parquet(f"{path}/data")
+        df.repartitionByRange(n, "position").sortWithinPartitions("position").write.option("compression", "zstd").parquet(f"{at}/data")
+        back = spark.read.parquet(f"{at}/data")
         meta = {"version": 1, "total_items": back.count(), "items_per_record": items_per_record or 128, "app_data": app_data.hex()}
         if with_hash:
             meta["content_hash"] = content_hash_value(back.select("position", F.col(item).alias("item")), meta["items_per_record"])
             meta["item"] = item
-        spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode(mode).text(f"{path}/meta")
+        sealed.commit(spark, at, meta)
         return cls(spark, path)
 
+    @property
+    def at(self) -> str:
+        """The folder of the version that this store reads."""
+        if self._at is None:
+            self._at = sealed.current(self.spark, self.path)
+            if self._at is None:
+                raise FileNotFoundError(f"no store at {self.path}")
+        return self._at
+
     @property
     def meta(self) -> dict:
         if self._meta is None:
-            self._meta = json.loads(self.spark.read.text(f"{self.path}/meta").first()[0])
+            self._meta = sealed.meta(self.spark, self.at)
         return self._meta
 
     # reading
 
     def scan(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/data")
+        return self.spark.read.parquet(f"{self.at}/data")
 
     def count(self) -> int:
         return self.meta["total_items"]
@@ -72,8 +85,12 @@ class EventStore:
         return self.scan().where(F.col("position") < n)
 
     def positions(self, wanted: Sequence[int] | DataFrame) -> DataFrame:
-        """Rows at strictly ascending positions, in their order. A DataFrame of ``position`` may have any size."""
+        """Rows at strictly ascending positions, in their order. A DataFrame of ``position`` may have any size and has no
+        order: repeated positions count once. Positions outside the store are an error in both."""
         if isinstance(wanted, DataFrame):
+            low, high = wanted.agg(F.min("position"), F.max("position")).first()
+            if low is not None and (low < 0 or high >= self.count()):
+                raise PositionOutOfRange(f"positions {low} to {high} of {self.count()}")
             return self.scan().join(wanted.select("position").distinct(), "position", "left_semi").orderBy("position")
         wanted = list(wanted)
         if any(b <= a for a, b in zip(wanted, wanted[1:], strict=False)):

@@ -7,17 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from eventloom.operators.ordering import assign_positions
+from eventloom.operators.sealed import folders
 
 
 def sealed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("recursiveFileLookup", "true").parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
 def seal_batch(batch: DataFrame, batch_id: int, path: str, key: list[Column]) -> None:
     """Write batch ``batch_id`` to a folder of its own, so a repeated batch replaces itself.
 
@@ -25,9 +21,9 @@ def seal_batch(batch: DataFrame, batch_id: int, path: str, key: list[Column]) ->
     """
     spark = batch.sparkSession
     first = 0
-    below = [p for i in range(batch_id) if _exists(spark, p := f"{path}/batch={i:012d}")][-1:]
-    if below:
-        first = spark.read.parquet(*below).agg(F.max("position")).first()[0] + 1
+    below = [n for n in folders(spark, path, "batch=") if n < f"batch={batch_id:012d}"]
+    if below:  # the last one's statistics hold its last position
+        first = spark.read.parquet(f"{path}/{below[-1]}").agg(F.max("position")).first()[0] + 1
     out = assign_positions(batch, key).withColumn("position", F.col("position") + first)
     out.sortWithinPartitions("position").write.mode("overwrite").parquet(f"{path}/batch={batch_id:012d}")
 
