@@ -8,14 +8,20 @@ from pyspark.sql import functions as F
 from eventloom.model import TX_LEVEL, EventType
 from eventloom.operators import index
 from eventloom.operators.ordering import assign_positions, order_key
-from eventloom.scratch import cut
+from eventloom.operators.store import EventStore
+from eventloom.scratch import cut, new_path
 
-_KEPT: dict[tuple[str, str, str], DataFrame] = {}
+_KEPT: dict[tuple, object] = {}
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RAW_EVENT-like rows with text keys, diagnostics included."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("sec", F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts)"))
+    """Raw events with text keys, diagnostics included."""
+    return raw_of(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def raw_of(events: DataFrame) -> DataFrame:
+    """The same of a batch or a stream of rows of the ``events`` table."""
+    e = events.withColumn("sec", F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts)"))
     topics = F.slice(F.array("event_type", F.get_json_object("props", "$.k"), F.pmod("user_id", F.lit(7)).cast("string"), F.pmod("event_id", F.lit(11)).cast("string"), F.lit("x"), F.lit("y")), F.lit(1), F.pmod("event_id", F.lit(7)).cast("int"))
     return e.select(
         "event_id", F.expr("sec DIV 3600").alias("ledger_seq"), F.col("user_id").alias("tx_index"),
@@ -26,11 +32,14 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         topics.alias("topics"), F.col("props").alias("data"), (F.pmod("event_id", F.lit(4)) != 0).alias("successful"), "sec")
 
 
-def _once(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
-    """Tables that many queries read are written once a session."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+def _once(spark: SparkSession, sf_dir: str, name: str, make):
+    """Tables that many queries read are written once a session, and again when the input's files have changed."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    seen = tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files))
+    key = (spark.sparkContext.applicationId, seen, name)
     if key not in _KEPT:
-        _KEPT[key] = cut(make(), name)
+        _KEPT[key] = make()
     return _KEPT[key]
 
 
@@ -39,11 +48,40 @@ def stored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def make() -> DataFrame:
         kept = raw_events(spark, sf_dir).where(F.col("type_code") != int(EventType.DIAGNOSTIC))
-        return assign_positions(kept, order_key("ledger_seq", "tx_index", "op_index", "event_index"))
+        return cut(assign_positions(kept, order_key("ledger_seq", "tx_index", "op_index", "event_index")), "stored")
 
     return _once(spark, sf_dir, "stored", make)
 
 
+def store_of(spark: SparkSession, sf_dir: str) -> EventStore:
+    """The stored events as a sealed store."""
+    return _once(spark, sf_dir, "store", lambda: EventStore.write(stored_events(spark, sf_dir), new_path(spark, "store")))
+
+
+def index_of(spark: SparkSession, sf_dir: str) -> index.BitmapIndex:
+    """Their index on disk."""
+    return _once(spark, sf_dir, "index", lambda: index.BitmapIndex.write(postings_of(spark, sf_dir), new_path(spark, "index")))
+
+
+def ledgers_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw events nested: a ledger for each hour, a transaction for each user, three operations in each.
+
+    Transactions succeed or fail as a whole here: those of users divisible by four fail.
+    """
+    e = raw_events(spark, sf_dir).select(
+        F.col("ledger_seq").alias("ledger_sequence"), "tx_index", "op_index", "event_id",
+        F.struct(F.unhex("contract_hex").alias("contract_id"), F.col("type_code").cast("tinyint").alias("type"), F.pmod("event_id", F.lit(13)).cast("int").alias("body_version"),
+                 F.transform("topics", lambda t: F.encode(t, "utf-8")).alias("topics"), F.encode("data", "utf-8").alias("data")).alias("e"))
+    # one group is one transaction, then one ledger, as in the files that these stand for
+    listed = lambda keep: F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("event_id", "e")))), lambda s: s["e"])
+    tx = e.groupBy("ledger_sequence", "tx_index").agg(
+        listed(F.col("op_index") == TX_LEVEL).alias("events"), *[listed(F.col("op_index") == i).alias(f"op{i}") for i in range(3)])
+    one = F.struct(F.col("tx_index"), F.unhex(F.sha2(F.col("tx_index").cast("string"), 256)).alias("hash"), (F.pmod("tx_index", F.lit(4)) != 0).alias("successful"),
+                   F.col("events"), F.array(*[F.struct(F.col(f"op{i}").alias("events")) for i in range(3)]).alias("operations"))
+    return tx.groupBy("ledger_sequence").agg(F.array_sort(F.collect_list(one), lambda a, b: (a["tx_index"] - b["tx_index"]).cast("int")).alias("transactions")).select(
+        "ledger_sequence", F.timestamp_seconds(F.col("ledger_sequence") * 3600).alias("closed_at"), "transactions")
+
+
 def postings_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.postings(stored_events(spark, sf_dir), "contract_hex", "topics")
 

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from eventloom.functions import intpack, roaring
-from eventloom.functions.checksum import crc32c
+from eventloom.functions.checksum import crc32c, crc32c_many
 from eventloom.model import Corrupt
 from eventloom.sources import packfile as P
 
@@ -17,6 +17,12 @@ def test_crc32c_known_values():
     assert crc32c(bytes(32)) == 0x8A9136AA
 
 
+@given(st.lists(st.binary(max_size=70), max_size=30))
+@settings(max_examples=50, deadline=None)
+def test_crc32c_of_many(items):
+    assert crc32c_many(items, long=40).tolist() == [crc32c(x) for x in items]
+
+
 @given(st.lists(st.integers(0, 2**32 - 1), min_size=1, max_size=128))
 @settings(max_examples=60, deadline=None)
 def test_group_round_trip(values):

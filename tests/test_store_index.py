@@ -1,13 +1,14 @@
 import hashlib
 import struct
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from eventloom.functions.codec import decode_event, encode_event
 from eventloom.functions.hashing import content_hash, content_hash_value
 from eventloom.model import LEDGER_DDL, Corrupt, EmptyIndex, HashMismatch, KeyNotFound, PositionOutOfRange
-from eventloom.operators import index, layout
+from eventloom.operators import index, layout, sealed
 from eventloom.operators.extract import flatten_events
 from eventloom.operators.ordering import assign_positions, order_key
 from eventloom.operators.store import EventStore
@@ -54,6 +55,68 @@ def test_out_of_range(store, call):
         call(store[0])
 
 
+def test_positions_of_a_table(spark, store):
+    s, items = store
+    table = lambda ps: spark.createDataFrame([(p,) for p in ps], "position long")
+    assert rows(s.positions(table([299, 7, 7, 0]))) == [(i, items[i]) for i in (0, 7, 299)]
+    assert rows(s.positions(table([]))) == []
+    for bad in ([0, 300], [-1]):
+        with pytest.raises(PositionOutOfRange):
+            s.positions(table(bad))
+
+
+def test_for_each(spark, store):
+    s, items = store
+
+    def sizes(batch):
+        return pa.RecordBatch.from_arrays([batch.column("position"), pa.array([len(x.as_py()) for x in batch.column("item")], pa.int64())], names=["position", "size"])
+
+    assert {r.position: r.size for r in s.for_each(sizes, "position long, size long").collect()} == {i: len(x) for i, x in enumerate(items)}
+    assert s.for_each(sizes, "position long, size long", s.range(5, 3)).count() == 3
+
+
+def test_overwrite_is_whole_or_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "s")
+    EventStore.write(frame(spark, [b"a", b"b"]), path, with_hash=True)
+
+    def stop(*_):
+        raise RuntimeError("driver lost")
+
+    monkeypatch.setattr(sealed, "commit", stop)
+    with pytest.raises(RuntimeError):
+        EventStore.write(frame(spark, [b"c"]), path, mode="overwrite", with_hash=True)
+    monkeypatch.undo()
+    old = EventStore(spark, path)
+    assert old.count() == 2 and old.verify() and rows(old.scan().orderBy("position")) == [(0, b"a"), (1, b"b")]
+    assert EventStore.write(frame(spark, [b"x"]), path, mode="ignore").count() == 2
+    EventStore.write(frame(spark, [b"c"]), path, mode="overwrite")
+    assert EventStore(spark, path).count() == 1 and len(list((tmp_path / "s").iterdir())) == 1
+    with pytest.raises(FileNotFoundError):
+        EventStore(spark, str(tmp_path / "none")).count()
+    with pytest.raises(ValueError, match="whole"):
+        EventStore.write(frame(spark, [b"c"]), path, mode="append")
+
+
+def test_index_verify(spark, posted, tmp_path):
+    path = str(tmp_path / "ix")
+    ix = index.BitmapIndex.write(posted, path)
+    assert index.BitmapIndex(spark, path).verify() and index.BitmapIndex.write(posted.repartition(7), str(tmp_path / "other")).stored_hash() == ix.stored_hash()
+    back = index.BitmapIndex.deserialised(ix.serialised())
+    assert sorted(map(str, back.collect())) == sorted(map(str, ix.table().select(F.col("field").cast("int"), "key", "chunk", "positions").collect()))
+    for f in (tmp_path / "ix").glob("v=*/entries/field=3/*.parquet"):
+        f.unlink()  # an entry is lost
+    with pytest.raises(HashMismatch):
+        index.BitmapIndex(spark, path).verify()
+    with pytest.raises(FileExistsError):
+        index.BitmapIndex.write(posted, path)
+
+
+def test_roaring_payloads_of_later_chunks(spark, tmp_path):
+    p = spark.range(0, 200_000, 3).select(F.lit(1).alias("field"), F.lit(b"k").alias("key"), F.col("id").alias("position"))
+    back = index.BitmapIndex.deserialised(index.BitmapIndex.write(p, str(tmp_path / "big")).serialised())
+    assert sorted(x for r in back.collect() for x in r.positions) == list(range(0, 200_000, 3))
+
+
 def test_positions_ascend(store):
     for bad in ([10, 5, 20], [5, 5, 10]):
         with pytest.raises(ValueError, match="ascend"):
