@@ -97,8 +97,8 @@ class Network:
         self.p = [x.astype(np.float32) for x in (first, np.zeros(hidden), rng.normal(size=hidden) / np.sqrt(hidden), np.zeros(1))]
 
     def scaled(self, x: np.ndarray) -> np.ndarray:
-        """Surface counts standardised, n-grams centred."""
-        z = x - self.mean
+        """Surface counts standardised, n-grams centred; in place."""
+        z = np.subtract(x, self.mean, out=x)
         z[:, :SURFACE] = np.clip(z[:, :SURFACE] / self.std[:SURFACE], -6, 6)
         z[:, SURFACE:] *= GRAM_SCALE
         return z
@@ -152,10 +152,17 @@ def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
     return float(np.clip(best, 0.05, 0.95))
 
 
+def _matrix(texts: list[str]) -> np.ndarray:
+    out = np.empty((len(texts), FEATURES), dtype=np.float32)
+    for i, t in enumerate(texts):
+        out[i] = features(t)
+    return out
+
+
 def learn(positives: list[str], unlabelled: list[str]) -> Network | None:
     if not positives or not unlabelled:
         return None
-    pos, unl = (np.stack([features(t) for t in texts]) for texts in (positives, unlabelled))
+    pos, unl = _matrix(positives), _matrix(unlabelled)
     mean, std = unl.mean(0), unl.std(0) + 1e-3
     first = Network(mean, std)
     pos, unl = first.scaled(pos), first.scaled(unl)
@@ -168,7 +175,7 @@ def learn(positives: list[str], unlabelled: list[str]) -> Network | None:
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = 4000, max_chars: int = 20_000) -> Network | None:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = 3000, max_chars: int = 20_000) -> Network | None:
     """Positives: quality 1 of rows whose crc32(doc_id) mod 5 is not 0. Unlabelled: any document, in hash order."""
     one = labels.where(F.col("quality") == 1)
     positives = [t for t, _ in labelled_sample(docs, one, "quality", fold("doc_id", 5) != 0, rows, max_chars)]
