@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from eventloom.scratch import cut, discard, new_path, root
 
-__all__ = ["BASE", "SLICE", "codes", "cut", "discard", "distinct", "excerpt", "fold", "free_name", "has_letter", "keep_where", "labelled_sample", "lower_ascii", "map_slices", "mix64", "named", "new_path", "root", "table", "word_hashes", "words_of"]
+__all__ = ["BASE", "SLICE", "codes", "cut", "discard", "distinct", "excerpt", "fold", "free_name", "has_letter", "keep_where", "labelled_sample", "lower_ascii", "map_slices", "maybe_among", "mix64", "named", "new_path", "root", "table", "word_hashes", "words_of"]
 
 #: Rows that a Python map holds as Python objects at a time.
 SLICE = 256
@@ -77,6 +77,25 @@ def keep_where(df: DataFrame, column: str, good: Callable[[list], list[bool]]) -
     return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(run, df.schema)
 
 
+#: Bits of ``maybe_among``, whatever the data's size: 64 of them a row, 262,144 rows (some 8 MB) are broadcast at most.
+FILTER_BITS = 1 << 24
+
+
+def maybe_among(df: DataFrame, key: Column, keys: DataFrame, flag: str) -> DataFrame:
+    """``df`` with a boolean column ``flag``: false where ``key`` (a hash, long) is certainly none of the one column of
+    ``keys``. Rows that are none needn't be shuffled to a join with them. With more keys than bits it says true to all,
+    which costs the shuffle that it saves otherwise and changes no result."""
+    at = F.pmod(F.col(keys.columns[0]), F.lit(FILTER_BITS))
+    word, bits = free_name("word", df.columns), free_name("bits", df.columns)
+    words = keys.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias(word)).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias(bits))
+    words = cut(words, "filter")
+    here = free_name("at", df.columns)
+    got = df.withColumn(here, F.pmod(key, F.lit(FILTER_BITS)))
+    got = got.join(F.broadcast(words), F.shiftright(here, 6) == F.col(word), "left")
+    hit = F.getbit(F.col(bits), F.col(here).bitwiseAND(F.lit(63)).cast("int")) == 1
+    return got.select(*(named(c) for c in df.columns), F.coalesce(hit, F.lit(False)).alias(flag))
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Maximal runs of characters other than space and \\t to \\r, as UTF-8. bytes.split() splits at exactly these."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, cut, distinct, free_name, lower_ascii, map_slices, mix64, named, table, word_hashes, words_of
+from .common import BASE, cut, distinct, free_name, lower_ascii, map_slices, maybe_among, mix64, named, table, word_hashes, words_of
 
 SEGMENTS = 8
 BITS = 64
@@ -208,10 +208,17 @@ def similar_groups(docs: DataFrame, size: int = 5, min_similarity: float = 0.8)
     # numbers are given once and written; they follow no order that matters
     copies = cut(copies.withColumn("id", F.monotonically_increasing_id()), "copies")
     texts = _Texts(keyed, copies)
-    prints = cut(set_prints(texts.of(copies.select("id")), size, min_similarity, common_shingles(docs, size)), "prints")
+    # prints of all rows move, not texts; those of copies are dropped on arrival
+    every = set_prints(keyed, size, min_similarity, common_shingles(docs, size))
+    holders = copies.select(F.col("d").alias("cd"), F.col("h").alias("ch"), "id")
+    rest_of = [c for c in every.columns if c not in ("d", "h")]
+    prints = every.join(holders, (F.col("d") == F.col("cd")) & (F.col("h") == F.col("ch")))
+    prints = cut(prints.groupBy("d", "h", "id").agg(*(F.first(c).alias(c) for c in rest_of)).drop("d", "h"), "prints")
     each = prints.select("id", "n", F.explode("prefix").alias("x"))
     shared = each.groupBy("x").agg(F.min("id").alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1").withColumnRenamed("x", "y")
-    live = cut(each.join(shared, F.col("x") == F.col("y")).select("x", "id", "n", "m", "c"), "shared")
+    shared = cut(shared, "shared")
+    live = maybe_among(each, F.col("x"), shared.select("y"), "maybe").where("maybe")
+    live = cut(live.join(shared, F.col("x") == F.col("y")).select("x", "id", "n", "m", "c"), "live")
     stars = live.where("id <> m").select(F.col("m").alias("a"), F.col("id").alias("b")).distinct()
     found = _similar(texts, stars, prints, size, min_similarity)
     lead = cut(components(found), "leads")
@@ -240,9 +247,12 @@ def keep_one(docs: DataFrame, size: int = 5, min_similarity: float = 0.8) -> Dat
     d, h = free_name("d", docs.columns), free_name("h", docs.columns)
     rows = docs.withColumns({d: _id_key(docs), h: _content(docs)})
     odd = cut(groups.where(~(stays & (F.col("rows") == 1))).select(F.col("d").alias("gd"), F.col("h").alias("gh"), stays.alias("one")), "odd")
-    alone = rows.join(odd, (F.col(d) == F.col("gd")) & (F.col(h) == F.col("gh")), "left_anti")
-    one = rows.join(odd.where("one"), (F.col(d) == F.col("gd")) & (F.col(h) == F.col("gh")), "left_semi").dropDuplicates([d, h])
-    return alone.unionByName(one).select(*(named(c) for c in docs.columns))
+    flag = free_name("maybe", rows.columns)
+    rows = maybe_among(rows, F.xxhash64(F.col(d), F.col(h)), odd.select(F.xxhash64("gd", "gh").alias("k")), flag)
+    plain, some = rows.where(~F.col(flag)), rows.where(flag)  # most rows stay where they are
+    alone = some.join(odd, (F.col(d) == F.col("gd")) & (F.col(h) == F.col("gh")), "left_anti")
+    one = some.join(odd.where("one"), (F.col(d) == F.col("gd")) & (F.col(h) == F.col("gh")), "left_semi").dropDuplicates([d, h])
+    return plain.unionByName(alone).unionByName(one).select(*(named(c) for c in docs.columns))
 
 
 def _id_key(docs: DataFrame) -> Column:
@@ -265,8 +275,9 @@ class _Texts:
 
     def of(self, ids: DataFrame) -> DataFrame:
         """(id, text) of different ``ids``."""
-        holder = self.copies.join(ids, "id", "left_semi").select(F.col("d").alias("cd"), F.col("h").alias("ch"), "id")
-        got = self.keyed.join(holder, (F.col("d") == F.col("cd")) & (F.col("h") == F.col("ch")))
+        holder = cut(self.copies.join(ids, "id", "left_semi").select(F.col("d").alias("cd"), F.col("h").alias("ch"), "id"), "holders")
+        some = maybe_among(self.keyed, F.xxhash64("d", "h"), holder.select(F.xxhash64("cd", "ch").alias("k")), "maybe").where("maybe").drop("maybe")
+        got = some.join(holder, (F.col("d") == F.col("cd")) & (F.col("h") == F.col("ch")))
         # equal rows: the exchange of the join serves the grouping too
         return got.groupBy("d", "h", "id").agg(F.first("text").alias("text")).select("id", "text")
 
@@ -281,7 +292,7 @@ def common_shingles(docs: DataFrame, size: int, sample: int = 20_000, most: int
     def batch(cols: dict[str, list]) -> dict[str, list]:
         return {"x": np.concatenate([shingle_set(t, size) for t in cols["text"]]).view(np.int64)}
 
-    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(size)), F.lit(max(1, docs.count() // sample))) == 0).select("text")
+    some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, docs.count() // sample))) == 0).select("text")
     got = map_slices(some, batch, "x long").groupBy("x").agg(F.count(F.lit(1)).alias("c")).where("c > 2").orderBy(F.desc("c"), "x").limit(most).collect()
     x = np.array([r.x for r in got], dtype=np.int64).view(np.uint64)
     order = np.argsort(x)
@@ -302,17 +313,18 @@ def prefix(u: np.ndarray, least: float, common: tuple[np.ndarray, np.ndarray]) -
 
 
 def set_prints(texts: DataFrame, size: int, least: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(id, prefix array<long>, n long, s0 .. long): prefix, elements and sketch of a text's set of shingles."""
+    """(d, h, prefix array<long>, n long, s0 .. long) of rows (d, h, text): prefix, elements and sketch of a text's set of
+    shingles."""
     shared = texts.sparkSession.sparkContext.broadcast(common)
 
     def batch(cols: dict[str, list]) -> dict[str, list]:
         sets = [shingle_set(t, size) for t in cols["text"]]
         bits = [sketch(u).tolist() for u in sets]
         first = [prefix(u, least, shared.value) for u in sets]
-        return {"id": cols["id"], "prefix": first, "n": list(map(len, sets))} | {f"s{i}": [b[i] for b in bits] for i in range(SKETCH)}
+        return {"d": cols["d"], "h": cols["h"], "prefix": first, "n": list(map(len, sets))} | {f"s{i}": [b[i] for b in bits] for i in range(SKETCH)}
 
     longs = ", ".join(f"s{i} long" for i in range(SKETCH))
-    return map_slices(texts, batch, f"id long, prefix array<long>, n long, {longs}")
+    return map_slices(texts.select("d", "h", "text"), batch, f"d string, h binary, prefix array<long>, n long, {longs}")
 
 
 def _reachable(edges: DataFrame, prints: DataFrame, least: float) -> DataFrame:

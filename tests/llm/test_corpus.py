@@ -13,6 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from eventloom.llm import common
 from eventloom.llm import decontaminate as D
 from eventloom.llm import langid, line_dedup, pieces, quality_pu, quality_rules, registry, secrets, simhash, toxicity, warc
 from eventloom.llm.common import has_letter, word_hashes
@@ -358,10 +359,11 @@ def test_sketches_keep_similar_pairs(spark):
     sets = [set(simhash.shingles(t, 5)) for t in texts]
     alike = {(a, b) for a, b in every if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     edges = spark.createDataFrame(every, "a long, b long")
-    left = simhash._reachable(edges, simhash.set_prints(df, 5, 0.8, (np.zeros(0, np.uint64), np.zeros(0, np.int64))), 0.8)
+    keyed = df.select(F.col("id").cast("string").alias("d"), simhash._content(df).alias("h"), "text", "id")
+    prints = simhash.set_prints(keyed, 5, 0.8, (np.zeros(0, np.uint64), np.zeros(0, np.int64))).withColumn("id", F.col("d").cast("long"))
+    left = simhash._reachable(edges, prints, 0.8)
     kept = {tuple(r) for r in left.collect()}
     assert alike <= kept and 0 < len(alike) < len(kept) < len(every)
-    keyed = df.select(F.col("id").cast("string").alias("d"), simhash._content(df).alias("h"), "text", "id")
     texts_ = simhash._Texts(keyed.drop("id"), keyed.select("d", "h", "id"))
     assert {tuple(r) for r in simhash._verified(texts_, left, 5, 0.8).collect()} == alike
 
@@ -382,6 +384,17 @@ def test_shingle_sets():
     assert word_hashes(raw, 512).tolist() == word_hashes(raw).tolist() and len(set(word_hashes(raw).tolist())) == 3001
 
 
+def test_maybe_among_misses_none(spark, monkeypatch):
+    monkeypatch.setattr(common, "FILTER_BITS", 1 << 10)
+    df = spark.range(-300, 300).select(F.col("id"), F.lit(1).alias("at"), F.lit("x").alias("word"))
+    for few in (0, 5, 600):
+        keys = df.limit(0) if few == 0 else df.where(F.pmod("id", F.lit(600 // few)) == 0)
+        got = common.maybe_among(df, F.xxhash64("id"), keys.select(F.xxhash64("id").alias("k")), "maybe").collect()
+        wanted = {r.id for r in keys.collect()}
+        said = {r.id for r in got if r.maybe}
+        assert len(got) == 600 and wanted <= said and len(said) <= 2 * len(wanted) + 20
+
+
 def test_similar_groups(spark, odd):
     r = random.Random(4)
     words = [f"w{r.randint(0, 4000)}" for _ in range(300)]
