@@ -35,7 +35,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 
 from eventloom.sources.files import resolve
 
-from .common import new_path, table
+from .common import cut, maybe_among, new_path, table
 
 V1 = ("url", "ip", "date", "content_type", "length")
 V2 = ("url", "ip", "date", "content_type", "result_code", "checksum", "location", "offset", "filename", "length")
@@ -323,7 +323,11 @@ def convert(records: DataFrame, path: str, max_bytes: int = MAX_BYTES) -> None:
         o = original.as_py()
         yield (to_warc(record_id.as_py(), url.as_py(), date.as_py(), ip.as_py(), block.as_buffer().to_pybytes(), digest.as_py(), size.as_py(), page_id.as_py(), o and (o["page_id"], o["record_id"], o["url"], o["date"])),)
 
-    joined = records.join(revisits(records), F.col("record_id") == F.col("own"), "left")
+    again = cut(revisits(records), "revisits")
+    # records that are certainly no revisit needn't be shuffled to the join
+    flagged = maybe_among(records, F.xxhash64("record_id"), again.select(F.xxhash64("own").alias("k")), "maybe")
+    plain = flagged.where(~F.col("maybe")).drop("maybe").withColumn("original", F.lit(None).cast(again.schema["original"].dataType))
+    joined = flagged.where("maybe").drop("maybe").join(again, F.col("record_id") == F.col("own"), "left").drop("own").unionByName(plain)
     names = ("record_id", "page_id", "url", "ip", "date", "block", "digest", "size", "original")
     write_records(_rows(joined.select(*names), one, "record binary"), path, "warc.gz", b"", max_bytes)
 
