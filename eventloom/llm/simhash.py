@@ -73,16 +73,25 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     return map_slices(docs.select("doc_id", "text"), batch, "doc_id long, fp long")
 
 
-def shingle_set(text: str | None, size: int) -> np.ndarray:
-    """The different 64-bit hashes of a text's shingles, ascending: polynomials of its words' hashes."""
-    w = word_hashes(lower_ascii(text.encode("utf-8", "surrogatepass"))) if text else np.zeros(0, np.uint64)
+def set_words(text: str | None) -> np.ndarray:
+    """The hashes of a text's words, A-Z in lower case."""
+    return word_hashes(lower_ascii(text.encode("utf-8", "surrogatepass"))) if text else np.zeros(0, np.uint64)
+
+
+def _windows(w: np.ndarray, size: int) -> np.ndarray:
+    """The 64-bit hash of every shingle of words ``w``: a polynomial of their hashes. Fewer words are one shingle."""
     if not len(w):
         return w
-    size = min(size, len(w))  # fewer words are one shingle
+    size = min(size, len(w))
     h = np.zeros(len(w) - size + 1, dtype=np.uint64)
     for i in range(size):
         h = h * BASE + w[i : i + len(h)]
-    return distinct(mix64(h + np.uint64(size)))
+    return mix64(h + np.uint64(size))
+
+
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """The different hashes of a text's shingles, ascending."""
+    return distinct(_windows(set_words(text), size))
 
 
 def sketch(u: np.ndarray) -> np.ndarray:
@@ -198,9 +207,11 @@ def similar_groups(docs: DataFrame, size: int = 5, min_similarity: float = 0.8)
     links leads it, nulls last, then the smallest hash. Ids play no other part: they may be null or repeated.
 
     The links are found exactly, by a prefix filter: with the shingles of all sets in one order, two sets so similar share
-    one of the first n - ceil(min_similarity * n) + 1 of each. The order puts shingles common in a sample last; it decides
-    how many candidates there are, never which links are found. First each prefix shingle links its texts to the smallest
-    number. Then all pairs are compared that share one and are still in two components: pairs within one can't change it.
+    one of the first n - ceil(min_similarity * n) + 1 of each, and behind the first that they share both have elements
+    enough to be so similar. The order puts shingles of frequent words last; it decides how many candidates there are,
+    never which links are found. Each prefix shingle links its texts to the smallest number. A text is first compared with
+    that one of these which it shares most prefix shingles with; then with the others that are still in another component;
+    then all pairs that share a prefix shingle and are still in two components: pairs within one can't change it.
     """
     keyed = _keyed(docs)
     pairs = cut(keyed.groupBy("d", "h").agg(F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows")), "contents")
@@ -209,26 +220,29 @@ def similar_groups(docs: DataFrame, size: int = 5, min_similarity: float = 0.8)
     copies = cut(copies.withColumn("id", F.monotonically_increasing_id()), "copies")
     texts = _Texts(keyed, copies)
     # prints of all rows move, not texts; those of copies are dropped on arrival
-    every = set_prints(keyed, size, min_similarity, common_shingles(docs, size))
+    every = set_prints(keyed, size, min_similarity, frequent_words(docs))
     holders = copies.select(F.col("d").alias("cd"), F.col("h").alias("ch"), "id")
     rest_of = [c for c in every.columns if c not in ("d", "h")]
     prints = every.join(holders, (F.col("d") == F.col("cd")) & (F.col("h") == F.col("ch")))
     prints = cut(prints.groupBy("d", "h", "id").agg(*(F.first(c).alias(c) for c in rest_of)).drop("d", "h"), "prints")
-    each = prints.select("id", "n", F.explode("prefix").alias("x"))
-    shared = each.groupBy("x").agg(F.min("id").alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1").withColumnRenamed("x", "y")
-    shared = cut(shared, "shared")
+    each = prints.select("id", "n", F.posexplode("prefix").alias("at", "x")).select("x", "id", "n", (F.col("n") - F.col("at")).alias("left"))
+    shared = each.groupBy("x").agg(F.min(F.struct("id", "n", "left")).alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    shared = cut(shared.select(F.col("x").alias("y"), F.col("m.id").alias("m"), F.col("m.n").alias("mn"), F.col("m.left").alias("mleft"), "c"), "shared")
     live = maybe_among(each, F.col("x"), shared.select("y"), "maybe").where("maybe")
-    live = cut(live.join(shared, F.col("x") == F.col("y")).select("x", "id", "n", "m", "c"), "live")
-    stars = live.where("id <> m").select(F.col("m").alias("a"), F.col("id").alias("b")).distinct()
-    found = _similar(texts, stars, prints, size, min_similarity)
-    lead = cut(components(found), "leads")
+    live = cut(live.join(shared, F.col("x") == F.col("y")).select("x", "id", "n", "left", "m", "mn", "mleft", "c"), "live")
+    stars = live.where((F.col("id") != F.col("m")) & _room("n", "left", "mn", "mleft", min_similarity))
+    stars = cut(stars.groupBy(F.col("m").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("k")), "stars")
+    best = stars.groupBy("b").agg(F.max(F.struct("k", (-F.col("a")).alias("less"))).alias("x")).select((-F.col("x.less")).alias("a"), "b")
+    lead = cut(components(_similar(texts, best, prints, size, min_similarity)), "leads")
+    other = _apart(_apart(stars.select("a", "b"), "a", lead), "b", lead).where("ga <> gb").select("a", "b")
+    found = _similar(texts, other, prints, size, min_similarity)
+    lead = cut(components(found.unionByName(lead.select(F.col("c").alias("a"), F.col("v").alias("b")))), "leads")
     placed = live.where("c > 2").join(lead.withColumnsRenamed({"v": "id", "c": "own"}), "id", "left")
-    placed = cut(placed.select("x", "id", "n", "m", F.coalesce("own", "id").alias("g")), "placed")
+    placed = cut(placed.select("x", "id", "n", "left", "m", F.coalesce("own", "id").alias("g")), "placed")
     split = placed.groupBy("x").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("x")
     open_ = cut(placed.join(split, "x", "left_semi"), "open")
-    a, b = (open_.select("x", *(F.col(k).alias(e + k) for k in ("id", "n", "m", "g"))) for e in "ab")
-    sized = (F.col("an") >= min_similarity * F.col("bn") - 1e-6) & (F.col("bn") >= min_similarity * F.col("an") - 1e-6)
-    rest = a.join(b, "x").where((F.col("aid") < F.col("bid")) & (F.col("ag") != F.col("bg")) & (F.col("aid") != F.col("am")) & sized)
+    a, b = (open_.select("x", *(F.col(k).alias(e + k) for k in ("id", "n", "left", "m", "g"))) for e in "ab")
+    rest = a.join(b, "x").where((F.col("aid") < F.col("bid")) & (F.col("ag") != F.col("bg")) & (F.col("aid") != F.col("am")) & _room("an", "aleft", "bn", "bleft", min_similarity))
     more = _similar(texts, rest.select(F.col("aid").alias("a"), F.col("bid").alias("b")).distinct(), prints, size, min_similarity)
     lead = components(more.unionByName(lead.select(F.col("c").alias("a"), F.col("v").alias("b"))))
     lead = cut(lead.withColumnsRenamed({"v": "id", "c": "g"}), "groups")
@@ -286,42 +300,55 @@ def _similar(texts: _Texts, edges: DataFrame, prints: DataFrame, size: int, leas
     return cut(_verified(texts, cut(_reachable(edges, prints, least), "candidates"), size, least), "similar")
 
 
-def common_shingles(docs: DataFrame, size: int, sample: int = 20_000, most: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes, counts) of shingles that several texts of a sample of about ``sample`` rows have, ``most`` at most."""
+def _room(n: str, left: str, other_n: str, other_left: str, least: float) -> Column:
+    """Whether two sets can be similar whose first common element has ``left`` elements from itself on in either."""
+    return F.least(F.col(left), F.col(other_left)) + 1e-6 >= least / (1 + least) * (F.col(n) + F.col(other_n))
+
+
+def _apart(edges: DataFrame, end: str, lead: DataFrame) -> DataFrame:
+    """``edges`` with the component ``g`` + ``end`` of one end, by the components found so far."""
+    at = lead.select(F.col("v").alias("lv"), F.col("c").alias("lc"))
+    return edges.join(at, F.col(end) == F.col("lv"), "left").withColumn("g" + end, F.coalesce("lc", end)).drop("lv", "lc")
+
+
+def frequent_words(docs: DataFrame, most: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, 16 * log2 of the count) of the ``most`` most frequent words of all documents. They only order the
+    shingles: a word beyond them counts as rare."""
 
     def batch(cols: dict[str, list]) -> dict[str, list]:
-        return {"x": np.concatenate([shingle_set(t, size) for t in cols["text"]]).view(np.int64)}
+        x, c = np.unique(np.concatenate([set_words(t) for t in cols["text"]]), return_counts=True)
+        return {"x": x.view(np.int64), "c": c}
 
-    some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, docs.count() // sample))) == 0).select("text")
-    got = map_slices(some, batch, "x long").groupBy("x").agg(F.count(F.lit(1)).alias("c")).where("c > 2").orderBy(F.desc("c"), "x").limit(most).collect()
-    x = np.array([r.x for r in got], dtype=np.int64).view(np.uint64)
+    counts = map_slices(docs.select("text"), batch, "x long, c long").groupBy("x").agg(F.sum("c").alias("c")).where("c > 1")
+    got = counts.orderBy(F.desc("c"), "x").limit(most).select("x", F.round(16 * F.log2("c")).cast("long").alias("c")).toPandas()
+    x, c = got["x"].to_numpy(np.int64).view(np.uint64), got["c"].to_numpy(np.int64)
     order = np.argsort(x)
-    return x[order], np.array([r.c for r in got], dtype=np.int64)[order]
+    return x[order], c[order]
 
 
-def prefix(u: np.ndarray, least: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The prefix of a set of shingles; a zero for the empty set."""
-    if not len(u):
-        return np.zeros(1, dtype=np.int64)
-    known, counts = common
-    weight = np.zeros(len(u), dtype=np.int64)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, u), len(known) - 1)
-        weight = np.where(known[at] == u, counts[at], 0)
-    keep = len(u) - int(np.ceil(least * len(u) - 1e-6)) + 1
-    return u[np.argsort(weight, kind="stable")[:keep]].view(np.int64)
+def ordered_set(text: str | None, size: int, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of a text's different shingles, ascending; the same in the common order: those of rare words first)."""
+    w = set_words(text)
+    u, at = np.unique(_windows(w, size), return_index=True)
+    known, logs = frequent
+    if not len(u) or not len(known):
+        return u, u
+    i = np.minimum(np.searchsorted(known, w), len(known) - 1)
+    common = np.concatenate([[0], np.cumsum(np.where(known[i] == w, logs[i], 0))])
+    weight = (common[min(size, len(w)) :] - common[: -min(size, len(w))])[at]  # a shingle's own words: the same in every text
+    return u, u[np.argsort(weight, kind="stable")]
 
 
-def set_prints(texts: DataFrame, size: int, least: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(d, h, prefix array<long>, n long, s0 .. long) of rows (d, h, text): prefix, elements and sketch of a text's set of
-    shingles."""
-    shared = texts.sparkSession.sparkContext.broadcast(common)
+def set_prints(texts: DataFrame, size: int, least: float, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(d, h, prefix array<long>, n long, s0 .. long) of rows (d, h, text): prefix in the common order (a zero for the
+    empty set), elements and sketch of a text's set of shingles."""
+    shared = texts.sparkSession.sparkContext.broadcast(frequent)
 
     def batch(cols: dict[str, list]) -> dict[str, list]:
-        sets = [shingle_set(t, size) for t in cols["text"]]
-        bits = [sketch(u).tolist() for u in sets]
-        first = [prefix(u, least, shared.value) for u in sets]
-        return {"d": cols["d"], "h": cols["h"], "prefix": first, "n": list(map(len, sets))} | {f"s{i}": [b[i] for b in bits] for i in range(SKETCH)}
+        sets = [ordered_set(t, size, shared.value) for t in cols["text"]]
+        bits = [sketch(u).tolist() for u, _ in sets]
+        first = [o[: len(o) - int(np.ceil(least * len(o) - 1e-6)) + 1].view(np.int64) if len(o) else np.zeros(1, np.int64) for _, o in sets]
+        return {"d": cols["d"], "h": cols["h"], "prefix": first, "n": [len(u) for u, _ in sets]} | {f"s{i}": [b[i] for b in bits] for i in range(SKETCH)}
 
     longs = ", ".join(f"s{i} long" for i in range(SKETCH))
     return map_slices(texts.select("d", "h", "text"), batch, f"d string, h binary, prefix array<long>, n long, {longs}")
