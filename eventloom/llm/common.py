@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from eventloom.scratch import cut, discard, new_path, root
 
-__all__ = ["BASE", "SLICE", "codes", "cut", "discard", "distinct", "excerpt", "fold", "free_name", "has_letter", "keep_where", "labelled_sample", "lower_ascii", "map_slices", "maybe_among", "mix64", "named", "new_path", "root", "table", "word_hashes", "words_of"]
+__all__ = ["BASE", "SLICE", "codes", "cut", "discard", "distinct", "drop", "excerpt", "fold", "free_name", "has_letter", "keep_where", "labelled_sample", "lower_ascii", "map_slices", "maybe_among", "mix64", "named", "new_path", "root", "table", "word_hashes", "words_of"]
 
 #: Rows that a Python map holds as Python objects at a time.
 SLICE = 256
@@ -38,6 +38,13 @@ def free_name(wanted: str, *taken: list[str]) -> str:
     return wanted
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote, once everything that reads them is written too."""
+    for df in tables:
+        for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            discard(df.sparkSession, path)
+
+
 def map_slices(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list] | None], schema: str | StructType, setup: Callable[[], object] | None = None) -> DataFrame:
     """Apply ``fn`` to column lists of at most SLICE rows; it returns column lists in the order of ``schema``.
 

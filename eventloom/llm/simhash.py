@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, cut, distinct, free_name, lower_ascii, map_slices, maybe_among, mix64, named, table, word_hashes, words_of
+from .common import BASE, cut, distinct, drop, free_name, lower_ascii, map_slices, maybe_among, mix64, named, table, word_hashes, words_of
 
 SEGMENTS = 8
 BITS = 64
@@ -297,7 +297,12 @@ class _Texts:
 
 
 def _similar(texts: _Texts, edges: DataFrame, prints: DataFrame, size: int, least: float) -> DataFrame:
-    return cut(_verified(texts, cut(_reachable(edges, prints, least), "candidates"), size, least), "similar")
+    """The edges (a, b) whose texts are similar enough, written; what was written on the way is deleted."""
+    candidates = cut(_reachable(edges, prints, least), "candidates")
+    sets = _sets(texts, candidates, size)
+    out = cut(_compared(candidates, sets, least), "similar")
+    drop(candidates, sets)
+    return out
 
 
 def _room(n: str, left: str, other_n: str, other_left: str, least: float) -> Column:
@@ -368,17 +373,26 @@ def _reachable(edges: DataFrame, prints: DataFrame, least: float) -> DataFrame:
 
 
 def _verified(texts: _Texts, edges: DataFrame, size: int, least: float) -> DataFrame:
-    """The edges (a, b) whose texts are similar enough, by their sets of shingle hashes.
+    """The edges (a, b) whose texts are similar enough, by their sets of shingle hashes."""
+    return _compared(edges, _sets(texts, edges, size), least)
 
-    Both ends' sets travel with a link. Their sizes are within ``least`` of each other by then, so what moves is bounded by
-    the links' own texts; AQE splits the join where one end has many links.
-    """
+
+def _sets(texts: _Texts, edges: DataFrame, size: int) -> DataFrame:
+    """(v, hs): the set of shingle hashes of every end of ``edges``, written."""
 
     def batch(cols: dict[str, list]) -> dict[str, list]:
         return {"v": cols["id"], "hs": [shingle_set(t, size).tobytes() for t in cols["text"]]}
 
     ends = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = cut(map_slices(texts.of(ends), batch, "v long, hs binary"), "shingles")
+    return cut(map_slices(texts.of(ends), batch, "v long, hs binary"), "shingles")
+
+
+def _compared(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The edges whose ends' ``sets`` are similar enough.
+
+    Both ends' sets travel with a link. Their sizes are within ``least`` of each other by then, so what moves is bounded by
+    the links' own texts; AQE splits the join where one end has many links.
+    """
 
     def compare(cols: dict[str, list]) -> dict[str, list]:
         rows = []
