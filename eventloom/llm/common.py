@@ -84,22 +84,27 @@ def keep_where(df: DataFrame, column: str, good: Callable[[list], list[bool]]) -
     return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(run, df.schema)
 
 
-#: Bits of ``maybe_among``, whatever the data's size: 64 of them a row, 262,144 rows (some 8 MB) are broadcast at most.
+#: Bits of ``maybe_among``, whatever the data's size.
 FILTER_BITS = 1 << 24
+#: Longs in one row of the filter. Wide rows keep the broadcast small: 16,384 rows of 16 longs, some 3 MB, at most.
+FILTER_LONGS = 16
 
 
 def maybe_among(df: DataFrame, key: Column, keys: DataFrame, flag: str) -> DataFrame:
     """``df`` with a boolean column ``flag``: false where ``key`` (a hash, long) is certainly none of the one column of
     ``keys``. Rows that are none needn't be shuffled to a join with them. With more keys than bits it says true to all,
     which costs the shuffle that it saves otherwise and changes no result."""
-    at = F.pmod(F.col(keys.columns[0]), F.lit(FILTER_BITS))
-    word, bits = free_name("word", df.columns), free_name("bits", df.columns)
-    words = keys.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias(word)).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias(bits))
-    words = cut(words, "filter")
-    here = free_name("at", df.columns)
+    width = (64 * FILTER_LONGS).bit_length() - 1
+    row, here = (free_name(c, df.columns) for c in ("row", "at"))
+    longs = [free_name(f"bits{i}", df.columns) for i in range(FILTER_LONGS)]
+    nth = lambda at: F.shiftright(at, 6).bitwiseAND(F.lit(FILTER_LONGS - 1)).cast("int")
+    bit = F.expr("shiftleft(1L, cast(at & 63 as int))")
+    spots = keys.select(F.pmod(F.col(keys.columns[0]), F.lit(FILTER_BITS)).alias("at"))
+    rows = spots.groupBy(F.shiftright("at", width).alias(row)).agg(*(F.bit_or(F.when(nth("at") == i, bit).otherwise(F.expr("0L"))).alias(c) for i, c in enumerate(longs)))
+    rows = cut(rows, "filter")
     got = df.withColumn(here, F.pmod(key, F.lit(FILTER_BITS)))
-    got = got.join(F.broadcast(words), F.shiftright(here, 6) == F.col(word), "left")
-    hit = F.getbit(F.col(bits), F.col(here).bitwiseAND(F.lit(63)).cast("int")) == 1
+    got = got.join(F.broadcast(rows), F.shiftright(here, width) == F.col(row), "left")
+    hit = F.getbit(F.get(F.array(*map(F.col, longs)), nth(here)), F.col(here).bitwiseAND(F.lit(63)).cast("int")) == 1
     return got.select(*(named(c) for c in df.columns), F.coalesce(hit, F.lit(False)).alias(flag))
 
 
