@@ -317,15 +317,23 @@ def _apart(edges: DataFrame, end: str, lead: DataFrame) -> DataFrame:
 
 
 def frequent_words(docs: DataFrame, most: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes, 16 * log2 of the count) of the ``most`` most frequent words of all documents. They only order the
-    shingles: a word beyond them counts as rare."""
+    """(sorted hashes, 16 * log2 of the count) of the most frequent words of all documents, ``most`` at most: whole levels of
+    that logarithm, from the top, as long as there is room. They only order the shingles: a word beyond them counts as rare."""
 
     def batch(cols: dict[str, list]) -> dict[str, list]:
         x, c = np.unique(np.concatenate([set_words(t) for t in cols["text"]]), return_counts=True)
         return {"x": x.view(np.int64), "c": c}
 
-    counts = map_slices(docs.select("text"), batch, "x long, c long").groupBy("x").agg(F.sum("c").alias("c")).where("c > 1")
-    got = counts.orderBy(F.desc("c"), "x").limit(most).select("x", F.round(16 * F.log2("c")).cast("long").alias("c")).toPandas()
+    counts = map_slices(docs.select("text"), batch, "x long, c long").groupBy("x").agg(F.sum("c").alias("n")).where("n > 1")
+    counts = cut(counts.select("x", F.round(16 * F.log2("n")).cast("long").alias("c")), "counts")
+    room, least = most, None
+    # a row for each level, 1,024 at most; a limit would send that many words of every partition to the driver
+    for c, n in sorted(counts.groupBy("c").count().collect(), reverse=True):
+        if (room := room - n) < 0:
+            break
+        least = c
+    got = counts.where(F.lit(False) if least is None else F.col("c") >= least).toPandas()
+    drop(counts)
     x, c = got["x"].to_numpy(np.int64).view(np.uint64), got["c"].to_numpy(np.int64)
     order = np.argsort(x)
     return x[order], c[order]
