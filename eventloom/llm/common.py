@@ -12,10 +12,13 @@ from pyspark.sql.types import StructType
 
 from eventloom.scratch import cut, discard, new_path, root
 
-__all__ = ["BASE", "SLICE", "codes", "cut", "discard", "distinct", "drop", "excerpt", "fold", "free_name", "has_letter", "keep_where", "labelled_sample", "lower_ascii", "map_slices", "maybe_among", "mix64", "named", "new_path", "root", "table", "word_hashes", "words_of"]
+__all__ = ["BASE", "SLICE", "bounded", "codes", "cut", "discard", "distinct", "drop", "excerpt", "fold", "free_name", "has_letter", "keep_where", "labelled_sample", "lower_ascii", "map_slices", "maybe_among", "mix64", "named", "new_path", "root", "table", "word_hashes", "words_of"]
 
 #: Rows that a Python map holds as Python objects at a time.
 SLICE = 256
+#: Bytes of a batch on its way to a Python worker. Spark's own 64 MB stand in the JVM, twice while a buffer grows, and in the
+#: worker, for every core.
+BATCH_BYTES = 8 << 20
 #: Multiplier of the polynomial hashes.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -45,6 +48,14 @@ def drop(*tables: DataFrame) -> None:
             discard(df.sparkSession, path)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, whose session sends batches of BATCH_BYTES at most to Python unless its settings name another size."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def map_slices(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list] | None], schema: str | StructType, setup: Callable[[], object] | None = None) -> DataFrame:
     """Apply ``fn`` to column lists of at most SLICE rows; it returns column lists in the order of ``schema``.
 
@@ -65,7 +76,7 @@ def map_slices(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list] |
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in out], schema=out)
 
-    return df.mapInArrow(run, kind)
+    return bounded(df).mapInArrow(run, kind)
 
 
 def keep_where(df: DataFrame, column: str, good: Callable[[list], list[bool]]) -> DataFrame:
@@ -81,7 +92,7 @@ def keep_where(df: DataFrame, column: str, good: Callable[[list], list[bool]]) -
 
     names = df.columns
     # numbered meanwhile: a name with a dot can't be asked for
-    return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(run, df.schema)
+    return bounded(df).toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(run, df.schema)
 
 
 #: Bits of ``maybe_among``, whatever the data's size.

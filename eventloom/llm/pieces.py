@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, map_slices, table
+from .common import bounded, cut, map_slices, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -405,7 +405,7 @@ def count_units(docs: DataFrame) -> DataFrame:
                 few = pc.less_equal(pc.utf8_length(got.field(0)), HEAD_CHARS)
                 yield pa.RecordBatch.from_arrays([got.field(0), got.field(1)], names=["unit", "n"]).filter(few)
 
-    return docs.select(_escaped(F.col("text"))).mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    return bounded(docs).select(_escaped(F.col("text"))).mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
 def head_units(docs: DataFrame, head: int) -> DataFrame:
@@ -458,7 +458,7 @@ def encode_documents(docs: DataFrame, path: str = MODEL, head: int = HEAD) -> Da
                 lists = pa.ListArray.from_arrays(pa.array(ends[rows], pa.int32()), pa.array(values, pa.int32()), mask=none)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).cast(pa.int64()), lists, pa.array(np.diff(ends[rows]), pa.int64()), pa.array(bad == 0)], names=["doc_id", "ids", "n_pieces", "round_trip"])
 
-    return docs.select("doc_id", _escaped(F.col("text"))).mapInArrow(run, "doc_id long, ids array<int>, n_pieces long, round_trip boolean")
+    return bounded(docs).select("doc_id", _escaped(F.col("text"))).mapInArrow(run, "doc_id long, ids array<int>, n_pieces long, round_trip boolean")
 
 
 def decode_documents(encoded: DataFrame, path: str = MODEL) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 
 from eventloom.sources.files import resolve
 
-from .common import cut, maybe_among, new_path, table
+from .common import bounded, cut, maybe_among, new_path, table
 
 V1 = ("url", "ip", "date", "content_type", "length")
 V2 = ("url", "ip", "date", "content_type", "result_code", "checksum", "location", "offset", "filename", "length")
@@ -272,7 +272,7 @@ def _rows(df: DataFrame, one: object, schema: str, most: int = 256) -> DataFrame
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
 
-    return df.mapInArrow(run, schema)
+    return bounded(df).mapInArrow(run, schema)
 
 
 def write_arc(pages: DataFrame, path: str, version: int, max_bytes: int = MAX_BYTES) -> None:
