@@ -13,7 +13,8 @@ radius <= 2; every fingerprint with the key takes part, none is left out.
 Copies collapse first: texts with one fingerprint are one class, represented by its smallest id. Components are found by
 alternating large-star and small-star steps on class representatives, with a written table after each round.
 
-``similar_groups`` and ``keep_one`` find groups by the similarity of shingle sets instead, for the pipeline.
+``similar_groups`` and ``keep_one``, for the pipeline, take the same fingerprints and links, and go on to the texts whose
+sets of shingles are similar though their fingerprints are not.
 
 Defined cases: an empty table gives an empty one; a null text has no word, so its fingerprint is zero, linked like any
 other; repeated rows and ids give a row each; rows with a null id get their fingerprint and the component of their class
@@ -64,11 +65,16 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def simhash(text: str | None, size: int = 3) -> int:
+    """The fingerprint as a long; zero if there is no word."""
+    return signed(majority(h)) if len(h := hashes(text, size)) else 0
+
+
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     """(doc_id, fp long) of whole texts."""
 
     def batch(cols: dict[str, list]) -> dict[str, list]:
-        return {"doc_id": cols["doc_id"], "fp": [signed(majority(h)) if len(h := hashes(t, size)) else 0 for t in cols["text"]]}
+        return {"doc_id": cols["doc_id"], "fp": [simhash(t, size) for t in cols["text"]]}
 
     return map_slices(docs.select("doc_id", "text"), batch, "doc_id long, fp long")
 
@@ -202,7 +208,8 @@ def similar_groups(docs: DataFrame, size: int = 5, min_similarity: float = 0.8)
     the content's number, its first (smallest) id, how many rows the pair has, and the number of the content that leads
     its group. A content may lead itself.
 
-    Two texts are linked if the sets of their ``size``-word shingles have a Jaccard similarity of ``min_similarity`` or
+    Two texts are linked if their SimHashes link as in ``near_duplicates``, or if the sets of their ``size``-word shingles
+    have a Jaccard similarity of ``min_similarity`` or
     more (texts without a word are linked with each other); the content with the smallest first id of a component of such
     links leads it, nulls last, then the smallest hash. Ids play no other part: they may be null or repeated.
 
@@ -233,7 +240,7 @@ def similar_groups(docs: DataFrame, size: int = 5, min_similarity: float = 0.8)
     stars = live.where((F.col("id") != F.col("m")) & _room("n", "left", "mn", "mleft", min_similarity))
     stars = cut(stars.groupBy(F.col("m").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("k")), "stars")
     best = stars.groupBy("b").agg(F.max(F.struct("k", (-F.col("a")).alias("less"))).alias("x")).select((-F.col("x.less")).alias("a"), "b")
-    lead = cut(components(_similar(texts, best, prints, size, min_similarity)), "leads")
+    lead = cut(components(_similar(texts, best, prints, size, min_similarity).unionByName(_alike(prints))), "leads")
     other = _apart(_apart(stars.select("a", "b"), "a", lead), "b", lead).where("ga <> gb").select("a", "b")
     found = _similar(texts, other, prints, size, min_similarity)
     lead = cut(components(found.unionByName(lead.select(F.col("c").alias("a"), F.col("v").alias("b")))), "leads")
@@ -296,6 +303,13 @@ class _Texts:
         return got.groupBy("d", "h", "id").agg(F.first("text").alias("text")).select("id", "text")
 
 
+def _alike(prints: DataFrame) -> DataFrame:
+    """Links (a, b) of numbers by SimHash: all of one fingerprint with its smallest, and these within the radius."""
+    classes = cut(prints.groupBy("fp").agg(F.min("id").alias("v")), "classes")
+    same = prints.select(F.col("fp").alias("own"), F.col("id").alias("b")).join(classes, F.col("own") == F.col("fp")).where("b <> v")
+    return same.select(F.col("v").alias("a"), "b").unionByName(links(classes.select(F.lit(0).alias("t"), "fp", "v")))
+
+
 def _similar(texts: _Texts, edges: DataFrame, prints: DataFrame, size: int, least: float) -> DataFrame:
     """The edges (a, b) whose texts are similar enough, written; what was written on the way is deleted."""
     candidates = cut(_reachable(edges, prints, least), "candidates")
@@ -361,10 +375,10 @@ def set_prints(texts: DataFrame, size: int, least: float, frequent: tuple[np.nda
         sets = [ordered_set(t, size, shared.value) for t in cols["text"]]
         bits = [sketch(u).tolist() for u, _ in sets]
         first = [o[: len(o) - int(np.ceil(least * len(o) - 1e-6)) + 1].view(np.int64) if len(o) else np.zeros(1, np.int64) for _, o in sets]
-        return {"d": cols["d"], "h": cols["h"], "prefix": first, "n": [len(u) for u, _ in sets]} | {f"s{i}": [b[i] for b in bits] for i in range(SKETCH)}
+        return {"d": cols["d"], "h": cols["h"], "fp": list(map(simhash, cols["text"])), "prefix": first, "n": [len(u) for u, _ in sets]} | {f"s{i}": [b[i] for b in bits] for i in range(SKETCH)}
 
     longs = ", ".join(f"s{i} long" for i in range(SKETCH))
-    return map_slices(texts.select("d", "h", "text"), batch, f"d string, h binary, prefix array<long>, n long, {longs}")
+    return map_slices(texts.select("d", "h", "text"), batch, f"d string, h binary, fp long, prefix array<long>, n long, {longs}")
 
 
 def _reachable(edges: DataFrame, prints: DataFrame, least: float) -> DataFrame:

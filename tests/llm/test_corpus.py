@@ -453,6 +453,15 @@ def test_similar_groups_finds_block_edits(spark):
     assert len(want) > 100 and leaders(spark.createDataFrame(texts, DOCS)) == want
 
 
+def test_similar_groups_takes_links_of_simhash(spark):
+    r = random.Random(8)
+    often = " ".join(f"w{i}" for i in range(11))
+    texts = [" ".join([often] * 60 + [f"t{r.randint(0, 10**6)}" for _ in range(8)]) for _ in range(2)] + [" ".join(f"o{i}" for i in range(300))]
+    one, two = ({*simhash.shingle_set(t, 5).tolist()} for t in texts[:2])
+    assert len(one & two) < 0.8 * len(one | two) and (brute_prints(texts[0]) ^ brute_prints(texts[1])).bit_count() <= 2
+    assert leaders(spark.createDataFrame(list(enumerate(texts, 1)), DOCS)) == {2: 1}
+
+
 # 9 decontamination
 
 
