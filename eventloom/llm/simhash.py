@@ -23,12 +23,15 @@ other; repeated rows and ids give a row each; rows with a null id get their fing
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, cut, distinct, drop, free_name, lower_ascii, map_slices, maybe_among, mix64, named, table, word_hashes, words_of
+from .common import BASE, bounded, cut, distinct, drop, free_name, lower_ascii, map_slices, maybe_among, mix64, named, table, word_hashes, words_of
 
 SEGMENTS = 8
 BITS = 64
@@ -208,17 +211,17 @@ def similar_groups(docs: DataFrame, size: int = 5, min_similarity: float = 0.8)
     the content's number, its first (smallest) id, how many rows the pair has, and the number of the content that leads
     its group. A content may lead itself.
 
-    Two texts are linked if their SimHashes link as in ``near_duplicates``, or if the sets of their ``size``-word shingles
-    have a Jaccard similarity of ``min_similarity`` or
-    more (texts without a word are linked with each other); the content with the smallest first id of a component of such
-    links leads it, nulls last, then the smallest hash. Ids play no other part: they may be null or repeated.
-
-    The links are found exactly, by a prefix filter: with the shingles of all sets in one order, two sets so similar share
-    one of the first n - ceil(min_similarity * n) + 1 of each, and behind the first that they share both have elements
-    enough to be so similar. The order puts shingles of frequent words last; it decides how many candidates there are,
-    never which links are found. Each prefix shingle links its texts to the smallest number. A text is first compared with
-    that one of these which it shares most prefix shingles with; then with the others that are still in another component;
-    then all pairs that share a prefix shingle and are still in two components: pairs within one can't change it.
+    Two texts are linked if their SimHashes link as in ``near_duplicates`` (2 or fewer differing bits), or if the sets of
+    their ``size``-word shingles have a Jaccard similarity of ``min_similarity`` or more (texts without a word are linked
+    with each other); the content with the smallest first id of a component of such links leads it, nulls last, then the
+    smallest hash. Ids play no other part: they may be null or repeated.
+
+    Links by SimHash come from ``links``. The others are found exactly, by a prefix filter: with the shingles of all sets
+    in one order, two sets so similar share one of the first n - ceil(min_similarity * n) + 1 of each, and behind the first
+    that they share both have elements enough to be so similar. The order puts shingles that many texts hold last; it
+    decides how many candidates there are, never which links are found. Each prefix shingle links its texts to one of
+    them; these are compared first. Then, SimHash's links counted in, all pairs that share a prefix shingle and are still
+    in two components: pairs within one can't change it.
     """
     keyed = _keyed(docs)
     pairs = cut(keyed.groupBy("d", "h").agg(F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows")), "contents")
@@ -227,32 +230,32 @@ def similar_groups(docs: DataFrame, size: int = 5, min_similarity: float = 0.8)
     copies = cut(copies.withColumn("id", F.monotonically_increasing_id()), "copies")
     texts = _Texts(keyed, copies)
     # prints of all rows move, not texts; those of copies are dropped on arrival
-    every = set_prints(keyed, size, min_similarity, frequent_words(docs))
+    every = set_prints(keyed, size, min_similarity, frequent_shingles(docs, size))
     holders = copies.select(F.col("d").alias("cd"), F.col("h").alias("ch"), "id")
     rest_of = [c for c in every.columns if c not in ("d", "h")]
     prints = every.join(holders, (F.col("d") == F.col("cd")) & (F.col("h") == F.col("ch")))
     prints = cut(prints.groupBy("d", "h", "id").agg(*(F.first(c).alias(c) for c in rest_of)).drop("d", "h"), "prints")
     each = prints.select("id", "n", F.posexplode("prefix").alias("at", "x")).select("x", "id", "n", (F.col("n") - F.col("at")).alias("left"))
-    shared = each.groupBy("x").agg(F.min(F.struct("id", "n", "left")).alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    shared = cut(shared.select(F.col("x").alias("y"), F.col("m.id").alias("m"), F.col("m.n").alias("mn"), F.col("m.left").alias("mleft"), "c"), "shared")
-    live = maybe_among(each, F.col("x"), shared.select("y"), "maybe").where("maybe")
-    live = cut(live.join(shared, F.col("x") == F.col("y")).select("x", "id", "n", "left", "m", "mn", "mleft", "c"), "live")
+    # narrow rows: most prefix shingles are seen once and end here
+    counted = cut(each.groupBy(F.col("x").alias("y")).agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "counted")
+    live = maybe_among(each, F.col("x"), counted.select("y"), "maybe").where("maybe")
+    live = cut(live.join(counted, F.col("x") == F.col("y")).select("x", "id", "n", "left", "c"), "held")
+    # a centre for each shingle, another for the next: in a group of near copies they link it, whichever is an outsider
+    centres = live.groupBy(F.col("x").alias("y")).agg(F.min(F.struct(F.xxhash64("x", "id"), "id", "n", "left")).alias("m"))
+    centres = cut(centres.select("y", F.col("m.id").alias("m"), F.col("m.n").alias("mn"), F.col("m.left").alias("mleft")), "centres")
+    live = cut(live.join(centres, F.col("x") == F.col("y")).drop("y"), "live")
     stars = live.where((F.col("id") != F.col("m")) & _room("n", "left", "mn", "mleft", min_similarity))
-    stars = cut(stars.groupBy(F.col("m").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("k")), "stars")
-    best = stars.groupBy("b").agg(F.max(F.struct("k", (-F.col("a")).alias("less"))).alias("x")).select((-F.col("x.less")).alias("a"), "b")
-    lead = cut(components(_similar(texts, best, prints, size, min_similarity).unionByName(_alike(prints))), "leads")
-    other = _apart(_apart(stars.select("a", "b"), "a", lead), "b", lead).where("ga <> gb").select("a", "b")
-    found = _similar(texts, other, prints, size, min_similarity)
-    lead = cut(components(found.unionByName(lead.select(F.col("c").alias("a"), F.col("v").alias("b")))), "leads")
+    stars = stars.select(F.least("m", "id").alias("a"), F.greatest("m", "id").alias("b")).distinct()
+    lead = _joined(texts, stars, _alike(prints), prints, live, size, min_similarity)
     placed = live.where("c > 2").join(lead.withColumnsRenamed({"v": "id", "c": "own"}), "id", "left")
     placed = cut(placed.select("x", "id", "n", "left", "m", F.coalesce("own", "id").alias("g")), "placed")
     split = placed.groupBy("x").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("x")
     open_ = cut(placed.join(split, "x", "left_semi"), "open")
     a, b = (open_.select("x", *(F.col(k).alias(e + k) for k in ("id", "n", "left", "m", "g"))) for e in "ab")
-    rest = a.join(b, "x").where((F.col("aid") < F.col("bid")) & (F.col("ag") != F.col("bg")) & (F.col("aid") != F.col("am")) & _room("an", "aleft", "bn", "bleft", min_similarity))
-    more = _similar(texts, rest.select(F.col("aid").alias("a"), F.col("bid").alias("b")).distinct(), prints, size, min_similarity)
-    lead = components(more.unionByName(lead.select(F.col("c").alias("a"), F.col("v").alias("b"))))
-    lead = cut(lead.withColumnsRenamed({"v": "id", "c": "g"}), "groups")
+    rest = a.join(b, "x").where((F.col("aid") < F.col("bid")) & (F.col("ag") != F.col("bg")) & (F.col("aid") != F.col("am")) & (F.col("bid") != F.col("am")) & _room("an", "aleft", "bn", "bleft", min_similarity))
+    rest = rest.select(F.col("aid").alias("a"), F.col("bid").alias("b")).distinct()
+    lead = _joined(texts, rest, lead.select(F.col("c").alias("a"), F.col("v").alias("b")), prints, live, size, min_similarity)
+    lead = lead.withColumnsRenamed({"v": "id", "c": "g"})
     # a component's smallest number is not always its smallest id
     member = copies.join(lead, "id", "left").select("id", "h", "first", F.coalesce("g", "id").alias("g"))
     best = member.groupBy("g").agg(F.min(F.struct(F.col("first").isNull(), "first", "h", "id")).alias("x")).select("g", F.col("x.id").alias("leader"))
@@ -310,65 +313,87 @@ def _alike(prints: DataFrame) -> DataFrame:
     return same.select(F.col("v").alias("a"), "b").unionByName(links(classes.select(F.lit(0).alias("t"), "fp", "v")))
 
 
-def _similar(texts: _Texts, edges: DataFrame, prints: DataFrame, size: int, least: float) -> DataFrame:
-    """The edges (a, b) whose texts are similar enough, written; what was written on the way is deleted."""
-    candidates = cut(_reachable(edges, prints, least), "candidates")
+def _joined(texts: _Texts, edges: DataFrame, more: DataFrame, prints: DataFrame, live: DataFrame, size: int, least: float) -> DataFrame:
+    """``components`` of the links ``more`` and of the edges (a, b) whose texts are similar enough; what was written on the
+    way is deleted."""
+    near = cut(_reachable(edges, prints, least), "near")
+    candidates = cut(_sharing(near, live, least), "candidates")
     sets = _sets(texts, candidates, size)
-    out = cut(_compared(candidates, sets, least), "similar")
-    drop(candidates, sets)
+    out = components(_compared(candidates, sets, least).unionByName(more))
+    drop(near, candidates, sets)
     return out
 
 
+def _sharing(edges: DataFrame, live: DataFrame, least: float) -> DataFrame:
+    """The edges (a, b) but those that share too few prefix shingles for certain; ``live`` has a row (x, id, n) for each
+    prefix shingle of two texts or more.
+
+    Behind the set whose prefix ends first in the common order, two sets share at most what that one has left; up to there
+    every shingle that they share is in both prefixes.
+    """
+    a, b = (live.select(F.col("id").alias(e), F.col("x").alias(e + "x"), F.col("n").alias(e + "n")) for e in "ab")
+    held = edges.join(a, "a").withColumnRenamed("b", "other")
+    both = held.join(b, (F.col("other") == F.col("b")) & (F.col("ax") == F.col("bx"))).groupBy("a", "b", "an", "bn").agg(F.count(F.lit(1)).alias("k"))
+    behind = F.ceil(least * F.greatest("an", "bn") - 1e-6) - 1
+    return both.where(F.col("k") + behind + 1e-6 >= least / (1 + least) * (F.col("an") + F.col("bn"))).select("a", "b")
+
+
 def _room(n: str, left: str, other_n: str, other_left: str, least: float) -> Column:
     """Whether two sets can be similar whose first common element has ``left`` elements from itself on in either."""
     return F.least(F.col(left), F.col(other_left)) + 1e-6 >= least / (1 + least) * (F.col(n) + F.col(other_n))
 
 
-def _apart(edges: DataFrame, end: str, lead: DataFrame) -> DataFrame:
-    """``edges`` with the component ``g`` + ``end`` of one end, by the components found so far."""
-    at = lead.select(F.col("v").alias("lv"), F.col("c").alias("lc"))
-    return edges.join(at, F.col(end) == F.col("lv"), "left").withColumn("g" + end, F.coalesce("lc", end)).drop("lv", "lc")
+def frequent_shingles(docs: DataFrame, size: int, most: int = 1 << 17, run: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, 16 * log2 of the count) of the most frequent shingles, ``most`` at most: whole levels of that
+    logarithm, from the top, as long as there is room.
+
+    All texts are counted, in runs of ``run`` shingles, a text's different ones once; of a run those move that two of its
+    texts hold. What two or more in a run don't hold counts as rare, as what is beyond ``most``: they only order the shingles.
+    """
 
+    def held_twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, n = [], 0
 
-def frequent_words(docs: DataFrame, most: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes, 16 * log2 of the count) of the most frequent words of all documents, ``most`` at most: whole levels of
-    that logarithm, from the top, as long as there is room. They only order the shingles: a word beyond them counts as rare."""
+        def counted() -> pa.RecordBatch:
+            x, c = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(x[c > 1].view(np.int64)), pa.array(c[c > 1].astype(np.int64))], names=["x", "c"])
 
-    def batch(cols: dict[str, list]) -> dict[str, list]:
-        x, c = np.unique(np.concatenate([set_words(t) for t in cols["text"]]), return_counts=True)
-        return {"x": x.view(np.int64), "c": c}
+        for batch in batches:
+            for text in batch.column(0):
+                sets.append(shingle_set(text.as_py(), size))
+                n += len(sets[-1])
+                if n >= run:
+                    yield counted()
+                    sets, n = [], 0
+        yield counted()
 
-    counts = map_slices(docs.select("text"), batch, "x long, c long").groupBy("x").agg(F.sum("c").alias("n")).where("n > 1")
+    counts = bounded(docs.select("text")).mapInArrow(held_twice, "x long, c long").groupBy("x").agg(F.sum("c").alias("n"))
     counts = cut(counts.select("x", F.round(16 * F.log2("n")).cast("long").alias("c")), "counts")
     room, least = most, None
-    # a row for each level, 1,024 at most; a limit would send that many words of every partition to the driver
+    # a row for each level, 1,024 at most; a limit would send that many of every partition to the driver
     for c, n in sorted(counts.groupBy("c").count().collect(), reverse=True):
         if (room := room - n) < 0:
             break
         least = c
-    got = counts.where(F.lit(False) if least is None else F.col("c") >= least).toPandas()
+    got = counts.where(F.lit(False) if least is None else F.col("c") >= least).toArrow()
     drop(counts)
-    x, c = got["x"].to_numpy(np.int64).view(np.uint64), got["c"].to_numpy(np.int64)
-    order = np.argsort(x)
-    return x[order], c[order]
+    x, c = (got.column(i).to_numpy() for i in range(2))
+    order = np.argsort(x.view(np.uint64))
+    return x.view(np.uint64)[order], c[order]
 
 
 def ordered_set(text: str | None, size: int, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of a text's different shingles, ascending; the same in the common order: those of rare words first)."""
-    w = set_words(text)
-    u, at = np.unique(_windows(w, size), return_index=True)
-    known, logs = frequent
+    """(hashes of a text's different shingles, ascending; the same in the common order: rare ones first)."""
+    u, (known, logs) = shingle_set(text, size), frequent
     if not len(u) or not len(known):
         return u, u
-    i = np.minimum(np.searchsorted(known, w), len(known) - 1)
-    common = np.concatenate([[0], np.cumsum(np.where(known[i] == w, logs[i], 0))])
-    weight = (common[min(size, len(w)) :] - common[: -min(size, len(w))])[at]  # a shingle's own words: the same in every text
-    return u, u[np.argsort(weight, kind="stable")]
+    i = np.minimum(np.searchsorted(known, u), len(known) - 1)
+    return u, u[np.argsort(np.where(known[i] == u, logs[i], 0), kind="stable")]
 
 
 def set_prints(texts: DataFrame, size: int, least: float, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(d, h, prefix array<long>, n long, s0 .. long) of rows (d, h, text): prefix in the common order (a zero for the
-    empty set), elements and sketch of a text's set of shingles."""
+    """(d, h, fp long, prefix array<long>, n long, s0 .. long) of rows (d, h, text): the text's SimHash; prefix in the common
+    order (a zero for the empty set), elements and sketch of its set of shingles."""
     shared = texts.sparkSession.sparkContext.broadcast(frequent)
 
     def batch(cols: dict[str, list]) -> dict[str, list]:

@@ -4,6 +4,7 @@ import random
 import re
 import resource
 import zlib
+from collections import Counter
 from itertools import chain
 from pathlib import Path
 
@@ -462,6 +463,18 @@ def test_similar_groups_takes_links_of_simhash(spark):
     assert leaders(spark.createDataFrame(list(enumerate(texts, 1)), DOCS)) == {2: 1}
 
 
+def test_prefixes_leave_out_a_common_passage(spark):
+    r = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(30))
+    texts = [" ".join(f"w{r.randint(0, 60)}" for _ in range(200)) + f" {passage}" for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS).coalesce(1)
+    frequent = simhash.frequent_shingles(df, 5)
+    prints = simhash.set_prints(df.select(F.col("doc_id").cast("string").alias("d"), simhash._content(df).alias("h"), "text"), 5, 0.8, frequent)
+    held = Counter(x for row in prints.collect() for x in row.prefix)
+    common = simhash.shingle_set(passage, 5).view(np.int64).tolist()
+    assert set(common) <= set(frequent[0].view(np.int64).tolist()) and not set(common) & set(held)
+
+
 # 9 decontamination
 
 
