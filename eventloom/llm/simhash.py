@@ -37,6 +37,7 @@ SEGMENTS = 8
 BITS = 64
 #: Longs of the sketch of a set of shingles; a power of two.
 SKETCH = 8
+_SKETCH = [f"s{i}" for i in range(SKETCH)]
 _SPREAD = np.array([[(b >> i) & 1 for i in range(8)] for b in range(256)], dtype=np.uint8)
 
 
@@ -246,15 +247,15 @@ def similar_groups(docs: DataFrame, size: int = 5, min_similarity: float = 0.8)
     live = cut(live.join(centres, F.col("x") == F.col("y")).drop("y"), "live")
     stars = live.where((F.col("id") != F.col("m")) & _room("n", "left", "mn", "mleft", min_similarity))
     stars = stars.select(F.least("m", "id").alias("a"), F.greatest("m", "id").alias("b")).distinct()
-    lead = _joined(texts, stars, _alike(prints), prints, live, size, min_similarity)
+    lead = _joined(texts, _reachable(stars, prints, min_similarity), _alike(prints), live, size, min_similarity)
     placed = live.where("c > 2").join(lead.withColumnsRenamed({"v": "id", "c": "own"}), "id", "left")
     placed = cut(placed.select("x", "id", "n", "left", "m", F.coalesce("own", "id").alias("g")), "placed")
     split = placed.groupBy("x").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("x")
-    open_ = cut(placed.join(split, "x", "left_semi"), "open")
-    a, b = (open_.select("x", *(F.col(k).alias(e + k) for k in ("id", "n", "left", "m", "g"))) for e in "ab")
-    rest = a.join(b, "x").where((F.col("aid") < F.col("bid")) & (F.col("ag") != F.col("bg")) & (F.col("aid") != F.col("am")) & (F.col("bid") != F.col("am")) & _room("an", "aleft", "bn", "bleft", min_similarity))
+    open_ = cut(placed.join(split, "x", "left_semi").join(prints.select("id", *_SKETCH), "id"), "open")
+    a, b = (open_.select("x", *(F.col(k).alias(e + k) for k in ("id", "n", "left", "m", "g", *_SKETCH))) for e in "ab")
+    rest = a.join(b, "x").where((F.col("aid") < F.col("bid")) & (F.col("ag") != F.col("bg")) & (F.col("aid") != F.col("am")) & (F.col("bid") != F.col("am")) & _room("an", "aleft", "bn", "bleft", min_similarity) & _may_reach(min_similarity))
     rest = rest.select(F.col("aid").alias("a"), F.col("bid").alias("b")).distinct()
-    lead = _joined(texts, rest, lead.select(F.col("c").alias("a"), F.col("v").alias("b")), prints, live, size, min_similarity)
+    lead = _joined(texts, rest, lead.select(F.col("c").alias("a"), F.col("v").alias("b")), live, size, min_similarity)
     lead = lead.withColumnsRenamed({"v": "id", "c": "g"})
     # a component's smallest number is not always its smallest id
     member = copies.join(lead, "id", "left").select("id", "h", "first", F.coalesce("g", "id").alias("g"))
@@ -313,10 +314,10 @@ def _alike(prints: DataFrame) -> DataFrame:
     return same.select(F.col("v").alias("a"), "b").unionByName(links(classes.select(F.lit(0).alias("t"), "fp", "v")))
 
 
-def _joined(texts: _Texts, edges: DataFrame, more: DataFrame, prints: DataFrame, live: DataFrame, size: int, least: float) -> DataFrame:
+def _joined(texts: _Texts, edges: DataFrame, more: DataFrame, live: DataFrame, size: int, least: float) -> DataFrame:
     """``components`` of the links ``more`` and of the edges (a, b) whose texts are similar enough; what was written on the
     way is deleted."""
-    near = cut(_reachable(edges, prints, least), "near")
+    near = cut(edges, "near")
     candidates = cut(_sharing(near, live, least), "candidates")
     sets = _sets(texts, candidates, size)
     out = components(_compared(candidates, sets, least).unionByName(more))
@@ -331,9 +332,10 @@ def _sharing(edges: DataFrame, live: DataFrame, least: float) -> DataFrame:
     Behind the set whose prefix ends first in the common order, two sets share at most what that one has left; up to there
     every shingle that they share is in both prefixes.
     """
-    a, b = (live.select(F.col("id").alias(e), F.col("x").alias(e + "x"), F.col("n").alias(e + "n")) for e in "ab")
-    held = edges.join(a, "a").withColumnRenamed("b", "other")
-    both = held.join(b, (F.col("other") == F.col("b")) & (F.col("ax") == F.col("bx"))).groupBy("a", "b", "an", "bn").agg(F.count(F.lit(1)).alias("k"))
+    # a row for an edge, not for each shingle that one of its ends holds
+    held = live.groupBy("id").agg(F.collect_list("x").alias("x"), F.first("n").alias("n"))
+    a, b = (held.select(F.col("id").alias(e), F.col("x").alias(e + "x"), F.col("n").alias(e + "n")) for e in "ab")
+    both = edges.join(a, "a").join(b, "b").withColumn("k", F.size(F.array_intersect("ax", "bx")))
     behind = F.ceil(least * F.greatest("an", "bn") - 1e-6) - 1
     return both.where(F.col("k") + behind + 1e-6 >= least / (1 + least) * (F.col("an") + F.col("bn"))).select("a", "b")
 
@@ -406,17 +408,19 @@ def set_prints(texts: DataFrame, size: int, least: float, frequent: tuple[np.nda
     return map_slices(texts.select("d", "h", "text"), batch, f"d string, h binary, fp long, prefix array<long>, n long, {longs}")
 
 
-def _reachable(edges: DataFrame, prints: DataFrame, least: float) -> DataFrame:
-    """The edges (a, b) but those whose sets of shingles are too unlike for certain, by their sizes and sketches.
-
-    Sets of p and q elements whose sketches differ in d bits share (p + q - d) / 2 elements at most, and min(p, q).
-    """
-    names = ["n", *(f"s{i}" for i in range(SKETCH))]
-    a, b = (prints.select(F.col("id").alias(x), *(F.col(c).alias(x + c) for c in names)) for x in "ab")
+def _may_reach(least: float) -> Column:
+    """Whether sets a and b can be similar, by their sizes and sketches: of p and q elements, with sketches that differ in d
+    bits, they share (p + q - d) / 2 elements at most, and min(p, q)."""
     total = F.col("an") + F.col("bn")
-    apart = sum((F.bit_count(F.col(f"as{i}").bitwiseXOR(F.col(f"bs{i}"))) for i in range(SKETCH)), F.lit(0))
+    apart = sum((F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in _SKETCH), F.lit(0))
     most = F.least((total - apart) / 2.0, F.col("an").cast("double"), F.col("bn").cast("double"))
-    return edges.join(a, "a").join(b, "b").where(most * (1 + least) + 1e-6 >= total * least).select("a", "b")
+    return most * (1 + least) + 1e-6 >= total * least
+
+
+def _reachable(edges: DataFrame, prints: DataFrame, least: float) -> DataFrame:
+    """The edges (a, b) but those whose sets of shingles are too unlike for certain."""
+    a, b = (prints.select(F.col("id").alias(x), *(F.col(c).alias(x + c) for c in ("n", *_SKETCH))) for x in "ab")
+    return edges.join(a, "a").join(b, "b").where(_may_reach(least)).select("a", "b")
 
 
 def _verified(texts: _Texts, edges: DataFrame, size: int, least: float) -> DataFrame:

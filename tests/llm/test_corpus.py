@@ -475,6 +475,28 @@ def test_prefixes_leave_out_a_common_passage(spark):
     assert set(common) <= set(frequent[0].view(np.int64).tolist()) and not set(common) & set(held)
 
 
+def test_filters_of_candidates_keep_similar_pairs(spark):
+    rng, words = random.Random(10), [f"w{i}" for i in range(3000)]
+    texts = [""]
+    for n in (6, 60, 400, 2500):
+        base = [rng.choice(words) for _ in range(n)]
+        texts += [" ".join(base[: n // 2]) + " " + " ".join(rng.choice(words) if rng.random() < rate else w for w in base[n // 2 :]) for rate in (0, 0.01, 0.03, 0.08, 0.5)]
+    # long texts that share a passage only: their sketches are full, and don't tell them apart
+    texts += [" ".join(rng.choice(words) for _ in range(2500)) + " " + " ".join(words[:40]) for _ in range(3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    keyed = df.select(F.col("id").cast("string").alias("d"), simhash._content(df).alias("h"), "text")
+    prints = simhash.set_prints(keyed, 5, 0.8, (np.zeros(0, np.uint64), np.zeros(0, np.int64))).withColumn("id", F.col("d").cast("long"))
+    live = prints.select("id", "n", F.explode("prefix").alias("x"))
+    sets = [set(simhash.shingles(t, 5)) for t in texts]
+    every = [(a, b) for b in range(len(texts)) for a in range(b)]
+    alike = {(a, b) for a, b in every if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    near = simhash._reachable(spark.createDataFrame(every, "a long, b long"), prints, 0.8)
+    kept = {tuple(r) for r in simhash._sharing(near, live, 0.8).collect()}
+    assert len(alike) > 8 and alike <= kept
+    last = len(texts) - 1
+    assert (last - 1, last) in {tuple(r) for r in near.collect()} and (last - 1, last) not in kept
+
+
 # 9 decontamination
 
 
